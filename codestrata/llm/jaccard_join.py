@@ -9,10 +9,13 @@ Jaccard distance is a metric on sets, and the join is a metric-space join in thr
   not share to (|x|+|y|)/9 shingles, so y's region is among those of x's first |x| - ceil(0.8|x|) + 1 shingles: the set
   is replicated into exactly that window, and two partners meet in the region of the first shingle they share, where their
   positions i and j satisfy i + j <= (|x|+|y|)/9. Members without such a partner leave the region.
-* Level 2: regions with the same smallest member are one cell, whose pivot is that member. A cell whose sets exceed
-  ``cell_shingles`` is split into blocks by hash, every pair of blocks being one task, so a task's memory is bounded for any
-  group. Within a task parity sketches, whose Hamming distance never exceeds that of the sets, exclude most pairs; others
-  are compared exactly unless their members are already connected. A task returns a spanning forest, never all pairs.
+* Level 2: regions with the same smallest member are one cell, whose pivot is that member. Members leave it unless the parity
+  sketch of another one is near: sketches differ in no more bits than the sets in shingles, so no partner is lost, and
+  few texts travel.
+* Level 3: what stays in a cell is compared exactly, unless already connected. A task returns a spanning forest, never all pairs.
+
+A cell of more than ``CELL_ROWS`` sketches, or ``cell_shingles`` shingles, is split into blocks by hash, every pair of blocks being one
+task, so a task's memory is bounded for any group.
 
 Which shingles count as common only affects speed: any order gives the same links.
 """
@@ -34,6 +37,8 @@ from codestrata.llm.components import components
 HOT = 1 << 17
 #: Shingles at most of a block of one cell.
 CELL_SHINGLES = 3_000_000
+#: Sketches at most of a block of one cell.
+CELL_ROWS = 10_000
 _ONE, _TWO = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x6C8E9CF570932BD5)
 
 
@@ -47,25 +52,26 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: set[int] = set()
         pool = []
-        size, one, two = [], [], []
+        size, one, two, sketch = [], [], [], []
         for _, _, u, at in kernel.shingle_sets(batch.column("text")):
             a, b = _signatures(u, at)
             size.append(np.diff(at))
             one.append(a)
             two.append(b)
+            sketch += [_sketch(u[x:y]) if y > x else None for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
             for k, key in enumerate(a.tolist()):
                 if key not in seen:
                     seen.add(key)
                     pool.append(u[at[k] : at[k + 1]])
         n = batch.num_rows
         none = pa.nulls(n, pa.int64())
-        out = [batch.column("doc_id"), batch.column("th"), *(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (size, one, two)), none, none]
+        out = [batch.column("doc_id"), batch.column("th"), *(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (size, one, two)), pa.array(sketch, pa.binary()), none, none]
         token, count = np.unique(np.concatenate(pool), return_counts=True) if pool else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         token, count = token[count > 2].view(np.int64), count[count > 2]
-        names = ["doc_id", "th", "n", "key", "key2", "token", "seen"]
+        names = ["doc_id", "th", "n", "key", "key2", "sketch", "token", "seen"]
         yield pa.RecordBatch.from_arrays(out, names)
         void = pa.nulls(len(token), pa.int64())
-        yield pa.RecordBatch.from_arrays([void] * 5 + [pa.array(token, pa.int64()), pa.array(count, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([void] * 5 + [pa.nulls(len(token), pa.binary()), pa.array(token, pa.int64()), pa.array(count, pa.int64())], names)
 
 
 def _windows(hot: np.ndarray, rank: np.ndarray):
@@ -172,10 +178,48 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield whole(held)
 
 
-def _sketch(u: np.ndarray, width: int) -> np.ndarray:
-    """Parities of the shingles by ``width`` bits: two sketches differ in no more bits than the sets in members."""
+def _sketch(u: np.ndarray) -> bytes:
+    """Parities of the shingles by their low bits, two to four bits a shingle: two sketches differ in no more bits than the sets
+    in members."""
+    width = min(max(64, 1 << int(2 * len(u) - 1).bit_length()), 8192)
     odd = np.bincount((u & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(sketch: bytes, words: int) -> np.ndarray:
+    """The sketch of that many 64-bit words that a longer one holds."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, words))
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pivot, key) of the members of each task whose sketch is near that of another one."""
+    pivots: list[int] = []
+    keys: list[int] = []
+    for group in runs(batches, ["pivot", "one", "two"]):
+        key, n = group.column("key").to_numpy(), group.column("n").to_numpy()
+        sketch = group.column("sketch").to_pylist()
+        words = np.array([len(x) // 8 for x in sketch])
+        keep = np.zeros(len(key), bool)
+        for w in np.unique(words).tolist():
+            # partners differ in size by a quarter at most, so in the width of their sketches by a factor of two
+            both = np.flatnonzero((words == w) | (words == 2 * w))
+            folded = np.stack([_folded(sketch[k], w) for k in both.tolist()])
+            for x, k in enumerate(both.tolist()):
+                if keep[k] or words[k] != w:
+                    continue  # one that is near another already; those left look at all themselves
+                d = np.bitwise_count(folded ^ folded[x]).sum(1, dtype=np.int64)
+                total = n[both] + n[k]
+                fits = (9 * d <= total) & (9 * np.abs(n[both] - n[k]) <= total)
+                fits[x] = False
+                if fits.any():
+                    keep[k] = True
+                    keep[both[fits]] = True
+        keys += key[keep].tolist()
+        pivots += [group.column("pivot")[0].as_py()] * int(keep.sum())
+        if len(keys) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(pivots, pa.int64()), pa.array(keys, pa.int64())], ["pivot", "key"])
+            pivots, keys = [], []
+    yield pa.RecordBatch.from_arrays([pa.array(pivots, pa.int64()), pa.array(keys, pa.int64())], ["pivot", "key"])
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -185,18 +229,16 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * inter >= 80 * (len(a) + len(b) - inter)
 
 
-def _cell(keys: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that connect the linked members of one task: a spanning forest. In a task of two blocks, members of one block
-    meet in that block's own task as well."""
+def _cell(keys: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges that connect the linked members of one task: a spanning forest."""
     order = sorted(range(len(keys)), key=lambda k: (len(sets[k]), int(keys[k])))
-    keys, blocks, sets = keys[order], blocks[order], [sets[k] for k in order]
+    keys, sets = keys[order], [sets[k] for k in order]
     n = np.array([len(s) for s in sets])
     root = np.arange(len(keys))
     edges: list[tuple[int, int]] = []
-    width = 64
-    while width < 2 * int(np.median(n)) and width < 4096:
-        width *= 2
-    sketch = np.stack([_sketch(s, width) for s in sets]) if len(keys) > 2 else None
+    made = [_sketch(s) for s in sets] if len(keys) > 2 else []
+    words = min(map(len, made), default=0) // 8
+    sketch = np.stack([_folded(x, words) for x in made]) if made else None
     for k in range(1, len(keys)):
         low = int(np.searchsorted(5 * n[:k], 4 * n[k], "left"))
         cand = np.flatnonzero(root[low:k] != root[k]) + low
@@ -220,7 +262,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(first) > 1:
             group = group.take(pa.array(first))
             sets = [u[at[k] : at[k + 1]] for x, y, u, at in kernel.shingle_sets(group.column("text")) for k in range(y - x)]
-            for x, y in _cell(group.column("key").to_numpy(), group.column("block").to_numpy(), sets):
+            for x, y in _cell(group.column("key").to_numpy(), sets):
                 a.append(x)
                 b.append(y)
         if len(a) > 10_000:
@@ -229,6 +271,14 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _tasks(cells: DataFrame, blocks) -> DataFrame:
+    """The rows of ``cells`` (pivot, key, ..) with one and two, the blocks that a task holds: all pairs of the cell's blocks."""
+    count = cells.groupBy("pivot").agg(F.ceil(blocks).cast("int").alias("blocks"))
+    placed = cells.join(count, "pivot").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("block", "other", "blocks")
+
+
 def jaccard_components(docs: DataFrame, hot: int = HOT, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """Per row of ``docs``: doc_id, th (hash of the text), n_shingles, key (the class of equal sets), group (the same for
     all rows of one component, null for a text without words) and component_id (the smallest doc_id of the component).
@@ -239,8 +289,9 @@ def jaccard_components(docs: DataFrame, hot: int = HOT, cell_shingles: int = CEL
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("th", text_key(F.col("text")))
-    described = save(texts.mapInArrow(_describe, "doc_id long, th long, n long, key long, key2 long, token long, seen long"), "sets")
+    described = save(texts.mapInArrow(_describe, "doc_id long, th long, n long, key long, key2 long, sketch binary, token long, seen long"), "sets")
     rows = described.filter("token is null").select("doc_id", "th", "n", "key")
+    sketched = described.filter("token is null and n > 0")
     common = described.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).filter("seen >= 8")
     got = common.orderBy(F.desc("seen"), "token").limit(hot).collect()
     tokens = np.array([r.token for r in got], np.int64).view(np.uint64)
@@ -256,24 +307,20 @@ def jaccard_components(docs: DataFrame, hot: int = HOT, cell_shingles: int = CEL
     )
     members = save(members.groupBy("pivot", "key").agg(F.lit(1).alias("one")).select("pivot", "key"), "members")
     classes = save(
-        rows.filter("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("least"))
-        .select("key", "n", F.col("least.doc_id").alias("doc_id"), F.col("least.th").alias("th")),
+        sketched.groupBy("key").agg(F.max("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "sketch")).alias("least"))
+        .select("key", "n", F.col("least.doc_id").alias("doc_id"), F.col("least.th").alias("th"), F.col("least.sketch").alias("sketch")),
         "classes",
     )
-    sized = members.join(classes.select("key", "n"), "key")
-    blocks = sized.groupBy("pivot").agg(F.ceil(F.sum("n") / cell_shingles).cast("int").alias("blocks"))
-    placed = members.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("pivot", "key", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    wanted = members.select("key").distinct().join(classes, "key")
-    found = (
-        texts.join(wanted.select("key", F.col("doc_id").alias("d"), F.col("th").alias("t")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-        .select("key", "text")
-    )
-    edges = (
-        placed.join(found, "key").repartition("pivot", "one", "two").sortWithinPartitions("pivot", "one", "two", "key")
-        .mapInArrow(_cells, "a long, b long")
+    sized = members.join(classes.select("key", "n", "sketch"), "key")
+    near = (
+        _tasks(sized, F.count("*") / CELL_ROWS).repartition("pivot", "one", "two").sortWithinPartitions("pivot", "one", "two", "key")
+        .mapInArrow(_near, "pivot long, key long").distinct()
     )
+    near = save(near, "near").join(classes.select("key", "n"), "key")
+    tasks = _tasks(near, F.sum("n") / cell_shingles).groupBy("key").agg(F.collect_list(F.struct("pivot", "one", "two")).alias("tasks"))
+    wanted = tasks.join(classes, "key").select("key", "tasks", F.col("doc_id").alias("d"), F.col("th").alias("t"))
+    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("key", "text", F.inline("tasks"))
+    edges = found.repartition("pivot", "one", "two").sortWithinPartitions("pivot", "one", "two", "key").mapInArrow(_cells, "a long, b long")
     joined = components(edges).withColumnRenamed("node", "key")
     grouped = classes.select("key", "doc_id").join(joined, "key", "left").withColumn("group", F.coalesce("component", "key"))
     least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
