@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.llm.common import save
-from codestrata.llm.tokens import Encoder, groups
+from codestrata.llm.tokens import encoder, groups
 
 CAPACITY, END = 1024, 2
 #: Pieces of one length that one task ranks.
@@ -31,15 +31,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        own_encoder = encoder(tokenizer)
         stop = np.array([end], "<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc_id")
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, some in groups(texts):
                 row, piece, start, length, crc, data = [], [], [], [], [], []
-                for k, got in enumerate(encoder.ids(some)):
-                    got += stop
+                for k, text in enumerate(some):
+                    got = own_encoder.ids(text).tobytes() + stop
                     n = len(got) // 4
                     x = 0
                     for p, y in enumerate(range((n - 1) % capacity + 1, n + 1, capacity)):

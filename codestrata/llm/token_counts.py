@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.tokens import Encoder, groups
+from codestrata.llm.tokens import encoder, groups
 
 
 def attribute(starts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -30,13 +30,13 @@ def section_tokens(docs: DataFrame, tokenizer: str, separator: str = "\n") -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        own_encoder = encoder(tokenizer)
         for batch in batches:
             batch = batch.filter(batch.column("text").is_valid())
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for a, some in groups(texts):
                 row, section, start, length, count = [], [], [], [], []
-                for k, (text, at) in enumerate(zip(some, encoder.starts(some))):
+                for k, text in enumerate(some):
                     size = [len(x) + len(separator) for x in text.split(separator)]
                     size[-1] -= len(separator)
                     if not size[-1] and len(size) > 1:
@@ -46,7 +46,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, separator: str = "\n") -> Da
                     section.append(np.arange(len(size)))
                     start.append(bounds)
                     length.append(np.array(size))
-                    count.append(attribute(at, bounds))
+                    count.append(attribute(own_encoder.starts(text), bounds))
                 cols = [np.concatenate(x) for x in (row, section, start, length, count)]
                 out = [ids.take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *(pa.array(c.astype(np.int64)) for c in cols[2:])]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "section", "start", "length", "n_tokens"])
