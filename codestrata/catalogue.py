@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from codestrata.plans import index, lineages, retrieval
+
+QUERIES: dict = retrieval.Q | index.Q | lineages.Q
+ORACLES: dict = retrieval.SQL | index.SQL | lineages.SQL
