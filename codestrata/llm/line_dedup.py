@@ -38,10 +38,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
     firsts = windows.groupBy("a", "b").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first <> last").select("a", "b", "first")
     later = windows.join(firsts, ["a", "b"]).filter("at > first").select("at.id", "at.th", "at.pos")
-    covered = later.groupBy("id", "th").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
-    both = src.join(covered, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__th") == F.col("th")), "left")
+    covered = later.groupBy(F.col("id").alias("__covered_id"), F.col("th").alias("__covered_th")).agg(F.sort_array(F.collect_set("pos")).alias("__starts"))
+    both = src.join(covered, F.col("__id").eqNullSafe(F.col("__covered_id")) & (F.col("__th") == F.col("__covered_th")), "left")
     far = lambda x, y: (y - x) > WINDOW
-    s = F.col("starts")
+    s = F.col("__starts")
     begins = F.filter(s, lambda x, i: (i == 0) | far(F.get(s, i - 1), x))
     ends = F.transform(F.filter(s, lambda x, i: (i == F.size(s) - 1) | far(x, F.get(s, i + 1))), lambda x: x + WINDOW)
     cut = both.withColumn("__lines", F.split("text", "\n", -1)).withColumn("__begins", begins).withColumn("__ends", ends)
