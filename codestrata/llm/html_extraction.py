@@ -11,7 +11,6 @@ import html
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,51 +144,59 @@ def shared(a: list[int], b: list[int]) -> set[int]:
     return found
 
 
-def main_text(lines: list[str], zones: list[int], hashes: list[int], other: list[int] | None) -> str:
-    """The article of a page: its INSIDE lines if it has any, else those that its neighbour ``other`` doesn't share."""
+def different(lines: list[str], hashes: list[int], other: list[int] | None) -> str:
+    """The lines of a page that its neighbour ``other`` doesn't share."""
     gone = shared(hashes, other) if other else set()
-    kept = [x for k, x in enumerate(lines) if zones[k] == INSIDE]
-    return "\n".join(kept if kept else [x for k, x in enumerate(lines) if k not in gone])
+    return "\n".join(x for k, x in enumerate(lines) if k not in gone)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each page its text if markup decides it, else its lines, and the hashes of all its lines."""
+    import xxhash
+
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
             part = batch.slice(a, 500)
-            lines, zones = [], []
+            text, lines, hashes = [], [], []
             for page in part.column("html").to_pylist():
                 got = blocks(page) if page else []
-                lines.append([x for x, _ in got])
-                zones.append([z for _, z in got])
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(lines, pa.list_(pa.string())), pa.array(zones, pa.list_(pa.int32()))], ["page_id", "url", "lines", "zones"])
+                own = [x for x, z in got if z == INSIDE]
+                text.append("\n".join(own) if own or not got else None)
+                lines.append(None if own or not got else [x for x, _ in got])
+                hashes.append([xxhash.xxh64_intdigest(x) - (1 << 63) for x, _ in got])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))],
+                ["page_id", "url", "text", "lines", "hashes"],
+            )
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of sorted pages. A page beside the edge of its partition whose neighbour may lie beyond waits (kind 1, with its
-    lines); the first and the last page of each partition are handed on with their hashes (kind 2 and 3)."""
+    """Texts of sorted pages that have lines left to decide. One beside the edge of its partition whose neighbour may lie beyond waits
+    (kind 1, with its lines); the first and the last page of each partition are handed on with their hashes (kind 2 and 3)."""
     from pyspark import TaskContext
 
     here = TaskContext.get().partitionId()
-    names = ["kind", "part", "host", "page_id", "url", "text", "lines", "zones", "hashes", "other"]
-    types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = ["kind", "part", "host", "page_id", "url", "text", "lines", "hashes", "other"]
+    types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
     rows: list[tuple] = []
     made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(types), types)], names)
 
     def out(now: dict, before: dict | None, after: dict | None) -> None:
+        if now["lines"] is None:
+            return
         same = lambda x: x is not None and x["host"] == now["host"]
         if before is None or not same(before) and after is None:
-            rows.append((1, here, now["host"], now["page_id"], now["url"], None, now["lines"], now["zones"], now["hashes"], after["hashes"] if same(after) else None))
+            rows.append((1, here, now["host"], now["page_id"], now["url"], None, now["lines"], now["hashes"], after["hashes"] if same(after) else None))
         else:
             other = before if same(before) else after if same(after) else None
-            text = main_text(now["lines"], now["zones"], now["hashes"], other and other["hashes"])
-            rows.append((0, here, None, now["page_id"], now["url"], text, None, None, None, None))
+            rows.append((0, here, None, now["page_id"], now["url"], different(now["lines"], now["hashes"], other and other["hashes"]), None, None, None))
 
     before = now = None
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
             for new in batch.slice(a, 500).to_pylist():
                 if now is None:
-                    rows.append((2, here, new["host"], None, None, None, None, None, new["hashes"], None))
+                    rows.append((2, here, new["host"], None, None, None, None, new["hashes"], None))
                 else:
                     out(now, before, new)
                 before, now = now, new
@@ -197,7 +204,7 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.clear()
     if now is not None:
         out(now, before, None)
-        rows.append((3, here, now["host"], None, None, None, None, None, now["hashes"], None))
+        rows.append((3, here, now["host"], None, None, None, None, now["hashes"], None))
     yield made()
 
 
@@ -212,20 +219,20 @@ def extract(pages: DataFrame) -> DataFrame:
     rows are pages each. Other columns play no part.
     """
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    cut = src.mapInArrow(_cut, "page_id long, url string, lines array<string>, zones array<int>")
+    cut = src.mapInArrow(_cut, "page_id long, url string, text string, lines array<string>, hashes array<long>")
     url = F.regexp_replace(F.coalesce("url", F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*:", "")
     host = F.lower(F.regexp_extract(url, "^//([^/?#]*)", 1))
     path = F.regexp_extract(url, "^(?://[^/?#]*)?([^?#]*)", 1)
-    keyed = cut.select(host.alias("host"), path.alias("path"), "page_id", "url", "lines", "zones", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
+    stored = save(cut.withColumns({"host": host, "path": path}), "pages")
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["host", "path", "url", "page_id"]
-    stored = save(
-        keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        .mapInArrow(_ends, "kind int, part int, host string, page_id long, url string, text string, lines array<string>, zones array<int>, hashes array<long>, other array<long>"),
-        "pages",
-    )
+    # texts that are decided stay where they are; hashes and undecided lines are sorted
+    sorted_pages = stored.select(*order, "lines", "hashes").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    compared = save(
+        sorted_pages.mapInArrow(_ends, "kind int, part int, host string, page_id long, url string, text string, lines array<string>, hashes array<long>, other array<long>"), "compared"
+    )
     # at most two rows of each partition
-    edges = {(r["kind"], r["part"]): (r["host"], r["hashes"]) for r in stored.filter("kind in (2, 3)").select("kind", "part", "host", "hashes").collect()}
+    edges = {(r["kind"], r["part"]): (r["host"], r["hashes"]) for r in compared.filter("kind in (2, 3)").select("kind", "part", "host", "hashes").collect()}
     parts = sorted({p for _, p in edges})
     around = {p: (edges[3, parts[k - 1]] if k else None, edges[2, parts[k + 1]] if k + 1 < len(parts) else None) for k, p in enumerate(parts)}
 
@@ -235,9 +242,10 @@ def extract(pages: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 before, after = around[r["part"]]
                 other = before[1] if before and before[0] == r["host"] else r["other"] if r["other"] is not None else after[1] if after and after[0] == r["host"] else None
-                text.append(main_text(r["lines"] or [], r["zones"] or [], r["hashes"] or [], other))
+                text.append(different(r["lines"], r["hashes"], other))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
-    waiting = stored.filter("kind = 1").select("part", "host", "page_id", "url", "lines", "zones", "hashes", "other").mapInArrow(settle, "page_id long, url string, text string")
-    both = stored.filter("kind = 0").select("page_id", "url", "text").unionByName(waiting)
+    waiting = compared.filter("kind = 1").select("part", "host", "page_id", "url", "lines", "hashes", "other").mapInArrow(settle, "page_id long, url string, text string")
+    decided = stored.filter("text is not null").select("page_id", "url", "text")
+    both = decided.unionByName(compared.filter("kind = 0").select("page_id", "url", "text")).unionByName(waiting)
     return both.withColumn("n_chars", F.length("text").cast("long"))
