@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from codestrata.llm import kernel
 
 #: Hashed words; labelled documents at most that the model is fitted on; documents that must hold a word for it to have a weight.
-BUCKETS, SAMPLE, LEAST_DOCS = 1 << 18, 16_000, 8
+BUCKETS, SAMPLE, LEAST_DOCS = 1 << 18, 8_000, 8
 #: Standard deviations by which the toxic documents that hold a word must differ from chance for it to have a weight.
 LEAST_Z = 3.0
 ROUNDS, RATE, DECAY, START = 150, 0.2, 3e-4, -6.0
