@@ -111,7 +111,8 @@ def search_all_versions(
     edges = linked.groupBy("query_id", F.col("i").alias("item")).agg(F.collect_list(F.struct("cos", F.col("j").alias("other"))).alias("pairs"))
     held = members.groupBy("query_id", "item").agg(F.collect_set("version").alias("versions")).join(edges, ["query_id", "item"], "left")
     grouped = held.groupBy("query_id").applyInPandas(_groups, "query_id long, item int, lineage int")
-    rows = members.join(grouped, ["query_id", "item"])
+    # read by the ranking, the timelines and the flat list: a pool's rows for each query, kept in memory or on disk
+    rows = members.join(grouped, ["query_id", "item"]).persist()
     order = Window.partitionBy("query_id", "lineage", "version").orderBy(F.desc("score"), "item", "ord", "path", "start_line", "name")
     per_version = rows.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
     of = Window.partitionBy("query_id", "lineage")
