@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.text import canonical_path
 from codestrata.functions.vector import dot, l2_normalise
+from codestrata.operators.search import dense_topk
 
 NEW, SAME, ABSENT = "●", "○", "–"
 DUPLICATE, RENAMED, PENALTY, TIE = 0.95, 0.9, 0.05, 0.01
@@ -36,12 +37,13 @@ def identity_key(tag_module: Column) -> Column:
 
 
 def occurrences(chunks: DataFrame, versions: DataFrame) -> DataFrame:
-    """Chunks of all versions with version, key and ord, the rank of their hash by first appearance."""
-    rows = chunks.join(F.broadcast(indexed_versions(versions)), "commit")
+    """Chunks of all versions with version, key and ord, a string that sorts as the first appearance of their hash does."""
+    rows = chunks.join(indexed_versions(versions), "commit")
     modules = F.count_if(F.col("kind") == "module").over(Window.partitionBy("commit", "path"))
     rows = rows.withColumn("key", identity_key((F.col("kind") == "module") & (modules != 1)))
     first = rows.groupBy("hash").agg(F.min(F.struct("version", "path", "start_line", "name")).alias("first"))
-    first = first.select("hash", (F.row_number().over(Window.orderBy("first")) - 1).alias("ord"))
+    at = lambda x: F.lpad(F.col(f"first.{x}").cast("string"), 10, "0")
+    first = first.select("hash", F.concat_ws("\0", at("version"), "first.path", at("start_line"), "first.name", "hash").alias("ord"))
     return rows.join(first, "hash")
 
 
@@ -89,15 +91,15 @@ def search_all_versions(
     if prefer not in ("latest", "score"):
         raise ValueError("prefer is latest or score")
     size = pool or max(10 * k, 100)
-    unit = queries.select("query_id", l2_normalise(F.col("vector")).alias("qv"))
-    distinct = occ.select("hash", "ord").distinct().join(vectors.select("hash", F.col("vector").alias("v")), "hash")
-    scored = unit.crossJoin(distinct).select("query_id", "hash", "ord", dot(F.col("qv"), F.col("v")).alias("score"))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord"))
-    top = scored.withColumn("nth", nth).filter(F.col("nth") <= size)
+    unit = queries.select("query_id", l2_normalise(F.col("vector")).alias("vector"))
+    distinct = occ.select("hash", "ord").distinct().join(vectors.select("hash", "vector"), "hash")
+    nearest = dense_topk(unit, distinct.select(F.col("ord").alias("doc_id"), "vector"), size)
+    top = nearest.select("query_id", F.substring_index("doc_id", "\0", -1).alias("hash"), F.col("doc_id").alias("ord"), "score", F.col("rank").alias("nth"))
     touched = top.join(occ.select("hash", "key", "version", "path", "start_line", "name"), "hash")
     first = touched.groupBy("query_id", "key").agg(F.min(F.struct("nth", "version", "path", "start_line", "name")).alias("first"))
     items = first.select("query_id", "key", (F.row_number().over(Window.partitionBy("query_id").orderBy("first")) - 1).alias("item"))
-    members = items.join(occ, "key").join(scored.select("query_id", "hash", "score"), ["query_id", "hash"])
+    members = items.join(occ, "key").join(vectors.select("hash", F.col("vector").alias("v")), "hash").join(unit.withColumnRenamed("vector", "qv"), "query_id")
+    members = members.withColumn("score", dot(F.col("qv"), F.col("v"))).drop("qv", "v")
     # similarity of items: three disjoint equi-joins instead of all pairs
     codes = items.join(occ.select("key", "hash").distinct(), "key").join(vectors.select("hash", "vector"), "hash")
     a = codes.select("query_id", F.col("key").alias("a"), F.col("item").alias("i"), F.col("vector").alias("av"))
@@ -127,7 +129,7 @@ def search_all_versions(
         "query_id", "rank", "lineage", "id", "path", "name", "kind", "start_line", "end_line", "hash", F.col("version"), F.col("score").alias("representative_score"),
         "best_score", "penalty", "rank_score", "n_distinct_code", (F.col("n_distinct_code") > 1).alias("changed"),
     )
-    every = lineages.select("query_id", "lineage").crossJoin(F.broadcast(occ.select("version", "label").distinct()))
+    every = lineages.select("query_id", "lineage").crossJoin(occ.select("version", "label").distinct())
     states = every.join(best_rows.select("query_id", "lineage", "version", "hash", "score"), ["query_id", "lineage", "version"], "left")
     earlier = Window.partitionBy("query_id", "lineage").orderBy("version").rowsBetween(Window.unboundedPreceding, -1)
     before = F.last("hash", ignorenulls=True).over(earlier)  # of the last version that had the code

@@ -35,7 +35,7 @@ class Store:
     def chunks(self, commit: str | None = None) -> DataFrame:
         found = self._read("chunks", f"{CHUNK_ROW}, commit string, build string")
         live = self.versions().select("commit", F.col("built_at").alias("build"))
-        found = found.join(F.broadcast(live), ["commit", "build"], "left_semi").drop("build")
+        found = found.join(live, ["commit", "build"], "left_semi").drop("build")
         return found if commit is None else found.filter(F.col("commit") == commit)
 
     def versions(self) -> DataFrame:

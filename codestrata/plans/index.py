@@ -94,7 +94,7 @@ def build_report(spark, d):
 
 _VERSIONS = "v AS (SELECT version, CAST(row_number() OVER (ORDER BY version) - 1 AS INTEGER) AS nth FROM (SELECT DISTINCT version FROM c))"
 _STATES = (
-    ", " + _VERSIONS + ", h AS (SELECT path, version, max(hash) AS hash FROM c WHERE n_chars % 3 > 0 GROUP BY path, version), p AS (SELECT DISTINCT path FROM h), "
+    ", " + _VERSIONS + ", h AS (SELECT path, version, max(hash) AS hash FROM c GROUP BY path, version), p AS (SELECT DISTINCT path FROM h), "
     "s AS (SELECT p.path, v.version, v.nth, h.hash, lag(h.hash IGNORE NULLS) OVER (PARTITION BY p.path ORDER BY v.nth) AS before FROM p CROSS JOIN v LEFT JOIN h ON h.path = p.path AND h.version = v.version), "
     "z AS (SELECT path, version, nth, CASE WHEN hash IS NULL THEN '–' WHEN hash = before THEN '○' ELSE '●' END AS state FROM s) "
 )
@@ -103,8 +103,8 @@ _STATES = (
 def _states(spark, d):
     c = chunks(spark, d)
     versions = c.select("version").distinct().withColumn("nth", F.row_number().over(Window.orderBy("version")) - 1)
-    held = c.filter("n_chars % 3 > 0").groupBy("path", "version").agg(F.max("hash").alias("hash"))
-    every = held.select("path").distinct().crossJoin(F.broadcast(versions)).join(held, ["path", "version"], "left")
+    held = c.groupBy("path", "version").agg(F.max("hash").alias("hash"))
+    every = held.select("path").distinct().crossJoin(versions).join(held, ["path", "version"], "left")
     earlier = Window.partitionBy("path").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     before = F.last("hash", ignorenulls=True).over(earlier)
     state = F.when(F.col("hash").isNull(), ABSENT).when(before.eqNullSafe(F.col("hash")), SAME).otherwise(NEW)

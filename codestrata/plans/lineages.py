@@ -15,8 +15,9 @@ SQL: dict[str, str] = {}
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = read(spark, d, "embeddings")
     n = F.col("vec_id")
+    file = F.floor(n / 70)  # seven names a file: about ten chunks share a name, as versions do
     chunks = e.select(
-        F.concat(F.lit("v"), F.col("label").cast("string")).alias("commit"), F.format_string("f%d.py#g%d@1", n % 25, n % 7).alias("id"), F.format_string("f%d.py", n % 25).alias("path"),
+        F.concat(F.lit("v"), F.col("label").cast("string")).alias("commit"), F.format_string("f%d.py#g%d@1", file, n % 7).alias("id"), F.format_string("f%d.py", file).alias("path"),
         F.format_string("g%d", n % 7).alias("name"), F.when(n % 11 == 0, "module").otherwise("function").alias("kind"), n.cast("int").alias("start_line"), (n + 1).cast("int").alias("end_line"),
         n.cast("string").alias("hash"), F.lit("python").alias("language"),
     )
@@ -28,16 +29,16 @@ def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 
 
 def lineage_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """K10, K11, M, G3, F3: the ten best pieces of code for each of five queries; thresholds suit vectors that are hardly alike."""
+    """K10, K11, M, G3, F3: the ten best pieces of code for each query; thresholds suit vectors that are hardly alike."""
     occ, _, vectors = _tables(spark, d)
-    found = search_all_versions(asked(spark, d, 5), occ, vectors, 10, duplicate=0.2, renamed=0.15)["lineages"]
+    found = search_all_versions(asked(spark, d), occ, vectors, 10, duplicate=0.2, renamed=0.15)["lineages"]
     return found.select("query_id", "rank", "path", "name", "kind", F.round("rank_score", 6).alias("rank_score"), "n_distinct_code", "changed", "timeline")
 
 
 def lineage_flat(spark: SparkSession, d: str) -> DataFrame:
     """The ungrouped best rows of each query with the lineage of each."""
     occ, _, vectors = _tables(spark, d)
-    return rounded(search_all_versions(asked(spark, d, 5), occ, vectors, 10, duplicate=0.2, renamed=0.15)["flat"])
+    return rounded(search_all_versions(asked(spark, d), occ, vectors, 10, duplicate=0.2, renamed=0.15)["flat"])
 
 
 Q |= {"lineage_clusters": lineage_clusters, "lineage_flat": lineage_flat}

@@ -31,9 +31,9 @@ def vectors(spark, d):
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
 
 
-def asked(spark, d, n: int = 20):
-    """The first vectors as queries: a stated set of fixed size."""
-    return vectors(spark, d).filter(F.col("doc_id") < n).select(F.col("doc_id").alias("query_id"), "vector")
+def asked(spark, d):
+    """The stated query set of all searches: the vectors whose id is divisible by 20, against all vectors."""
+    return vectors(spark, d).filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "vector")
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 _DOT = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
-_TOP = "SELECT q.vec_id AS query_id, e.vec_id AS doc_id, {dot} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {dot} DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id < 20"
+_TOP = "SELECT q.vec_id AS query_id, e.vec_id AS doc_id, {dot} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {dot} DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0"
 _DENSE = _TOP.format(dot=_DOT)
 _CHAIN = f"SELECT query_id, doc_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({_DENSE}) WHERE rank <= 10"
 
@@ -61,7 +61,7 @@ def dense_topk_blocks(spark, d):
 @query(
     "WITH u AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (vec_id + 1) / greatest(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * (vec_id + 1), 1e-12)) AS v FROM embeddings) "
     "SELECT query_id, doc_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_dot_product(q.v, e.v) AS s, "
-    "row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, e.v), 12) DESC, e.vec_id) AS rank FROM u q, u e WHERE q.vec_id < 20) WHERE rank <= 10"
+    "row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, e.v), 12) DESC, e.vec_id) AS rank FROM u q, u e WHERE q.vec_id % 20 = 0) WHERE rank <= 10"
 )
 def dense_topk_normalised(spark, d):
     """Vectors of any length are brought to length 1 first."""
@@ -76,7 +76,7 @@ def candidate_pool(spark, d):
 
 
 @query(
-    f"WITH t AS (SELECT q.vec_id AS query_id, e.label, e.vec_id AS doc_id, {_DOT} AS s FROM embeddings q, embeddings e WHERE q.vec_id < 20), "
+    f"WITH t AS (SELECT q.vec_id AS query_id, e.label, e.vec_id AS doc_id, {_DOT} AS s FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0), "
     "o AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY s DESC, doc_id) AS own FROM t), "
     "m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, label, own) AS rank FROM o WHERE own <= 5) "
     "SELECT query_id, 'label' || label AS source, doc_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM m WHERE rank <= 5"
@@ -89,27 +89,24 @@ def multi_source_merge(spark, d):
 
 
 @query(
-    f"WITH t AS (SELECT e.label, e.vec_id, {_DOT} AS s FROM embeddings q, embeddings e WHERE q.vec_id = 0), "
-    "b AS (SELECT label, max(s) AS best FROM t GROUP BY label) "
-    "SELECT t.label, round(b.best, 6) AS best_score, max(t.vec_id) AS shown FROM t JOIN b ON t.label = b.label WHERE t.s >= b.best - 0.05 GROUP BY t.label, b.best"
+    f"WITH t AS (SELECT q.vec_id AS query_id, e.label, e.vec_id, {_DOT} AS s FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0), "
+    "b AS (SELECT query_id, label, max(s) AS best FROM t GROUP BY ALL) "
+    "SELECT query_id, label, round(b.best, 6) AS best_score, max(t.vec_id) AS shown FROM t JOIN b USING (query_id, label) WHERE t.s >= b.best - 0.05 GROUP BY query_id, label, b.best"
 )
 def representative_tie(spark, d):
     """Of each group the latest row whose score is near the best."""
-    docs = vectors(spark, d).alias("e")
-    scored = docs.crossJoin(F.broadcast(asked(spark, d, 1).alias("q"))).select("e.label", "e.doc_id", dot(F.col("q.vector"), F.col("e.vector")).alias("s"))
-    best = F.max("s").over(Window.partitionBy("label"))
-    return scored.withColumn("best", best).groupBy("label").agg(F.round(F.max("best"), 6).alias("best_score"), F.max(F.when(F.col("s") >= F.col("best") - 0.05, F.col("doc_id"))).alias("shown"))
+    near = search.near_best(asked(spark, d), vectors(spark, d), "label", 0.05)
+    return near.groupBy("query_id", "label").agg(F.round(F.max("best"), 6).alias("best_score"), F.max("doc_id").alias("shown"))
 
 
 @query(
     f"SELECT query_id, label, doc_id, round(s, 6) AS score FROM (SELECT q.vec_id AS query_id, e.label, e.vec_id AS doc_id, {_DOT} AS s, "
-    f"row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY {_DOT} DESC, e.vec_id) AS n FROM embeddings q, embeddings e WHERE q.vec_id < 20) WHERE n = 1"
+    f"row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY {_DOT} DESC, e.vec_id) AS n FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) WHERE n = 1"
 )
 def argmax_per_group(spark, d):
     """E5: the best row of each group, the first of equal ones."""
-    q, e = asked(spark, d).alias("q"), vectors(spark, d).alias("e")
-    scored = q.crossJoin(e).select("q.query_id", "e.label", "e.doc_id", dot(F.col("q.vector"), F.col("e.vector")).alias("score"))
-    return rounded(search.ranked(scored, 1, by=("query_id", "label")).drop("rank"))
+    near = search.near_best(asked(spark, d), vectors(spark, d), "label")
+    return rounded(near.groupBy("query_id", "label").agg(F.min("doc_id").alias("doc_id"), F.max("best").alias("score")))
 
 
 @query(
@@ -131,16 +128,16 @@ def mean_duplicates(spark, d):
 
 
 @query(
-    "SELECT q.vec_id AS a, e.vec_id AS b, round(max(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))), 6) AS cos FROM embeddings q JOIN embeddings e "
-    "ON q.label = e.label AND q.vec_id < e.vec_id AND q.vec_id < 200 AND e.vec_id < 200 GROUP BY 1, 2 HAVING max(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) > 0.3"
+    f"WITH t AS (SELECT t.query_id, e.* FROM ({_DENSE}) t JOIN embeddings e ON e.vec_id = t.doc_id WHERE t.rank <= 100) "
+    f"SELECT q.query_id, q.vec_id AS a, e.vec_id AS b, round({_DOT}, 6) AS cos FROM t q JOIN t e ON q.query_id = e.query_id AND q.label = e.label AND q.vec_id < e.vec_id WHERE {_DOT} > 0.3"
 )
 def near_dup_pairs(spark, d):
-    """Similar pairs within equal labels, of a pool of 200 rows."""
-    pool = vectors(spark, d).filter("doc_id < 200")
+    """Similar rows of one label within each query's pool of max(10 k, 100)."""
+    pool = candidate_pool(spark, d).select("query_id", "doc_id").join(vectors(spark, d), "doc_id")
     a, b = pool.alias("a"), pool.alias("b")
-    both = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    both = both.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), dot(F.col("a.vector"), F.col("b.vector")).alias("cos"))
-    return both.groupBy("a", "b").agg(F.max("cos").alias("cos")).filter("cos > 0.3").withColumn("cos", F.round("cos", 6))
+    both = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.doc_id") < F.col("b.doc_id")))
+    both = both.select("a.query_id", F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), dot(F.col("a.vector"), F.col("b.vector")).alias("cos"))
+    return both.filter("cos > 0.3").withColumn("cos", F.round("cos", 6))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings")
@@ -228,7 +225,7 @@ _QRELS = "qr AS (SELECT DISTINCT b.item_id AS query_id, x.doc_id, 1 AS score FRO
 
 def _qrels(spark, d):
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    return read(spark, d, "documents").select("doc_id", "text").join(F.broadcast(items), F.contains("text", "item")).select("query_id", "doc_id", F.lit(1).alias("score")).distinct()
+    return read(spark, d, "documents").select("doc_id", "text").join(items, F.contains("text", "item")).select("query_id", "doc_id", F.lit(1).alias("score")).distinct()
 
 
 _EVAL = (
@@ -273,7 +270,9 @@ def split_train_val(spark, d):
 def hard_negatives(spark, d):
     """Near vectors of another label than the query's."""
     docs = vectors(spark, d)
-    same = asked(spark, d).select("query_id").join(docs.select(F.col("doc_id").alias("query_id"), "label"), "query_id").join(docs.select("doc_id", "label"), "label").select("query_id", "doc_id", F.lit(1).alias("score"))
+    label = docs.select("doc_id", "label")
+    near = candidate_pool(spark, d).select("query_id", "doc_id").join(label, "doc_id").join(label.toDF("query_id", "own"), "query_id")
+    same = near.filter("label = own").select("query_id", "doc_id", F.lit(1).alias("score"))
     return training.hard_negatives(asked(spark, d), docs, same, asked(spark, d).select(F.col("query_id").alias("doc_id")))
 
 

@@ -33,5 +33,5 @@ def test_query(spark, duck, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 200
+    assert entry.entry(spark).count() == 250
     assert set(entry.oracle_sql()) <= set(entry.queries())

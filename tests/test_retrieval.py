@@ -116,3 +116,31 @@ def test_penalties_and_guards(spark):
 def test_restrict(spark):
     run = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.4)], "query_id long, doc_id long, score double")
     assert search.restrict(run, run.filter(F.col("doc_id") == 2).select("query_id", "doc_id")).count() == 1
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(0, 3, 4).astype(float).tolist()) for i in range(150)] + [(900, None), (901, []), (902, [1.0]), (903, [math.nan, 0.0, 0.0, 0.0])]
+    q, docs = vectors(spark, rows[:100], "query_id"), vectors(spark, rows)
+    one = search.dense_topk(q, docs, 5).collect()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 30)
+    several = search.dense_topk(q, docs, 5).collect()
+    want = []
+    for i, v in rows[:100]:
+        best = sorted(((-float(np.dot(v, w)), j) for j, w in rows[:150]))[:5]
+        want += [(i, j, -s, n + 1) for n, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, one)) == sorted(map(tuple, several)) == sorted(want)
+    named = search.dense_topk(q, docs.withColumn("doc_id", F.format_string("%04d", "doc_id")), 5).collect()
+    assert sorted((r[0], int(r[1]), r[2], r[3]) for r in named) == sorted(want)
+    with pytest.raises(ValueError):
+        search.dense_topk(q, docs.withColumn("doc_id", F.struct("doc_id")), 5)
+    with pytest.raises(ValueError):
+        search.dense_topk_blocks(vectors(spark, [(1, [1.0]), (2, [1.0, 2.0])], "query_id"), docs, 5)
+    assert search.dense_topk_blocks(q.filter("query_id < 0"), docs, 5).count() == 0 == search.dense_topk_blocks(q, docs.filter("doc_id < 0"), 5).count()
+
+
+def test_near_best(spark):
+    docs = spark.createDataFrame([(i, [float(i % 7)], i % 3) for i in range(60)], "doc_id long, vector array<double>, label int")
+    got = search.near_best(vectors(spark, [(1, [1.0]), (2, [-1.0])], "query_id"), docs, "label", 1.0).collect()
+    want = {(q, i) for q, sign in ((1, 1), (2, -1)) for i in range(60) if sign * (i % 7) >= max(sign * (j % 7) for j in range(60) if j % 3 == i % 3) - 1}
+    assert {(r["query_id"], r["doc_id"]) for r in got} == want
