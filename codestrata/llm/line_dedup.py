@@ -26,8 +26,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     for ones named n_lines or n_removed, which are replaced.
     """
     plain = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    src = docs.select(*[F.col(f"`{c}`") for c in plain], F.col("doc_id").alias("__id"), text_key(F.col("text")).alias("__th"))
-    lines = src.select("__id", "__th", F.split("text", "\n", -1).alias("lines")).filter(F.size("lines") >= WINDOW)
+    # columns go by number until the end, so that none clashes with a name used here
+    src = docs.select(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(plain)], F.col("doc_id").alias("__id"), text_key(F.col("text")).alias("__th"))
+    text = F.col(f"c{plain.index('text')}")
+    lines = src.select("__id", "__th", F.split(text, "\n", -1).alias("lines")).filter(F.size("lines") >= WINDOW)
     hashed = lines.select("__id", "__th", _hashed(F.col("lines")).alias("h"), (F.size("lines") - (WINDOW - 1)).alias("n"))
     zipped = F.arrays_zip(*[F.slice("h", k + 1, F.col("n")).alias(f"l{k}") for k in range(WINDOW)])
     each = hashed.select("__id", "__th", F.posexplode(zipped).alias("pos", "w"))
@@ -44,14 +46,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     s = F.col("__starts")
     begins = F.filter(s, lambda x, i: (i == 0) | far(F.get(s, i - 1), x))
     ends = F.transform(F.filter(s, lambda x, i: (i == F.size(s) - 1) | far(x, F.get(s, i + 1))), lambda x: x + WINDOW)
-    cut = both.withColumn("__lines", F.split("text", "\n", -1)).withColumn("__begins", begins).withColumn("__ends", ends)
+    cut = both.withColumn("__lines", F.split(text, "\n", -1)).withColumn("__begins", begins).withColumn("__ends", ends)
     cut = cut.withColumn("__from", F.concat(F.array(F.lit(0)), F.col("__ends"))).withColumn("__to", F.concat(F.col("__begins"), F.array(F.size("__lines"))))
     gaps = F.arrays_zip("__from", "__to")
     cut = cut.withColumn("__gaps", gaps)
     kept = F.flatten(F.transform("__gaps", lambda g: F.slice(F.col("__lines"), g["__from"] + 1, g["__to"] - g["__from"])))
     cut = cut.withColumn("__kept", F.when(s.isNotNull(), kept))
-    out = {c: F.col(f"`{c}`") for c in plain} | {"text": F.when(s.isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))}
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long")
+    out = {c: F.col(f"c{n}") for n, c in enumerate(plain)} | {"text": F.when(s.isNull(), text).otherwise(F.array_join("__kept", "\n"))}
+    n = F.when(text.isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long")
     removed = F.when(s.isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size("__kept")).cast("long")
     return cut.select(*[out[c].alias(c) for c in plain], n.alias("n_lines"), removed.alias("n_removed"))
 

@@ -61,6 +61,9 @@ def test_line_dedup_edges(spark):
     got = dedup_lines(src)
     assert got.columns == ["doc_id", "text", "starts", "n_lines", "n_removed"]
     assert sorted((r["doc_id"] or 0, r["text"], r["n_removed"]) for r in got.collect() if r["text"] is not None) == [(0, "", 3), (2, "a\nb\nc", 0), (2, "a\nb\nc", 0), (3, "", 0)]
+    clashing = src.withColumns({c: F.lit("z") for c in ("__id", "__th", "__lines", "__starts", "c0", "th", "pos", "w", "first")})
+    again = dedup_lines(clashing)
+    assert set(again.columns) == {*clashing.columns, "n_removed"} and sorted(map(str, again.select(*got.columns).collect())) == sorted(map(str, got.collect()))
     assert dedup_lines(src.limit(0)).count() == 0
     assert not re.search("Python|Arrow|Pandas", dedup_lines(src)._jdf.queryExecution().executedPlan().toString())
 
