@@ -202,14 +202,16 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.zeros(len(key), bool)
         for w in np.unique(words).tolist():
             # partners differ in size by a quarter at most, so in the width of their sketches by a factor of two
-            both = np.flatnonzero((words == w) | (words == 2 * w))
+            both = np.concatenate([np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)])
             folded = np.stack([_folded(sketch[k], w) for k in both.tolist()])
             for x, k in enumerate(both.tolist()):
-                if keep[k] or words[k] != w:
-                    continue  # one that is near another already; those left look at all themselves
+                if keep[k]:
+                    continue  # one that is near another already; those left look at all themselves, in both widths
                 d = np.bitwise_count(folded ^ folded[x]).sum(1, dtype=np.int64)
                 total = n[both] + n[k]
                 fits = (9 * d <= total) & (9 * np.abs(n[both] - n[k]) <= total)
+                if words[k] != w:
+                    fits &= words[both] == w  # its own width and the next come with the next turn
                 fits[x] = False
                 if fits.any():
                     keep[k] = True

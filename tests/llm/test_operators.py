@@ -405,6 +405,34 @@ def test_jaccard(spark, hot, cell):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got) == jaccard_brute(rows)
 
 
+def test_near_across_widths(spark):
+    """a and b have sketches of one width and c one of twice that; a~b and b~c, but c isn't near a."""
+    import pyarrow as pa
+
+    from codestrata.llm.jaccard_join import _near, _sketch, jaccard_components
+
+    rng = random.Random(14)
+    for size in (32, 64, 128, 256, 2048):
+        base = np.array(rng.sample(range(1 << 62), 2 * size), np.uint64)
+        cut = size // 6
+        b = base[:size]
+        sets = [b[cut:], b, base[: size + cut]]
+        rows = {"pivot": [1] * 3, "one": [0] * 3, "two": [0] * 3, "key": [1, 2, 3], "n": [len(s) for s in sets], "sketch": [_sketch(np.sort(s)) for s in sets]}
+        assert len({len(x) for x in rows["sketch"]}) == 2
+        assert sorted(k for out in _near([pa.RecordBatch.from_pydict(rows)]) for k in out.column("key").to_pylist()) == [1, 2, 3]
+    rows = []
+    for size in (36, 68, 132, 260):  # words: four more than shingles
+        for _ in range(8):
+            base = words(rng, size, 10**6)
+            for _ in range(12):
+                ws = edited(rng, base, rng.choice([0, 0, 0.5 / size, 1.5 / size]))
+                at = rng.randrange(len(ws))
+                ws[at:at] = words(rng, rng.choice([0, 0, 1, 2, size // 25]), 10**6)
+                rows.append((len(rows), " ".join(ws)))
+    got = jaccard_components(docs(spark, rows)).collect()
+    assert sorted((False, r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == jaccard_brute(rows)
+
+
 def test_keep_one(spark):
     from codestrata.llm.jaccard_join import jaccard_components, keep_one
 
