@@ -1,8 +1,7 @@
 """HTML extraction by nearest-URL page differencing.
 
-Each page is cut into blocks of text. Pages are sorted by host and path; each is paired with its neighbour on the same host, and
-the longest common subsequence of their lines finds what the two share: the site's template. Shared lines are deleted, unless
-markup says that they are the article itself, as when one article stands at two addresses.
+Each page is cut into blocks of text. Different pages of a host are sorted by path; each is compared with its neighbours, and the longest
+common subsequence of their lines finds what they share: the site's template. Lines that two neighbours share are deleted, in articles too.
 """
 
 from __future__ import annotations
@@ -144,68 +143,69 @@ def shared(a: list[int], b: list[int]) -> set[int]:
     return found
 
 
-def different(lines: list[str], hashes: list[int], other: list[int] | None) -> str:
-    """The lines of a page that its neighbour ``other`` doesn't share."""
-    gone = shared(hashes, other) if other else set()
-    return "\n".join(x for k, x in enumerate(lines) if k not in gone)
+def repeated(own: list[int], article: bool, around: list[list[int]]) -> list[int]:
+    """Indices of a page's lines ``own`` that belong to the site: two of the pages ``around`` it share them, or the only one.
+
+    A page that shares more than half of an article's lines shows the same article, and has no say in it.
+    """
+    found = [shared(own, x) for x in around]
+    if article:
+        found = [x for x in found if 2 * len(x) <= len(own)]
+    least = min(2, len(found))
+    return [k for k in range(len(own)) if least and sum(k in x for x in found) >= least]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page its text if markup decides it, else its lines, and the hashes of all its lines."""
+    """For each page the lines that may be its text (those in articles, if any), their hashes, a hash of all of them (null if there are
+    none), whether it has an article, and then the hashes of all its lines."""
     import xxhash
 
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
             part = batch.slice(a, 500)
-            text, lines, hashes = [], [], []
+            lines, own, key, article, hashes = [], [], [], [], []
             for page in part.column("html").to_pylist():
                 got = blocks(page) if page else []
-                own = [x for x, z in got if z == INSIDE]
-                text.append("\n".join(own) if own or not got else None)
-                lines.append(None if own or not got else [x for x, _ in got])
-                hashes.append([xxhash.xxh64_intdigest(x) - (1 << 63) for x, _ in got])
+                inside = [x for x, z in got if z == INSIDE]
+                lines.append(inside or [x for x, _ in got])
+                own.append([xxhash.xxh64_intdigest(x) - (1 << 63) for x in lines[-1]])
+                key.append(xxhash.xxh64_intdigest(str(own[-1])) - (1 << 63) if got else None)
+                article.append(bool(inside))
+                hashes.append([xxhash.xxh64_intdigest(x) - (1 << 63) for x, _ in got] if len(inside) not in (0, len(got)) else None)
             yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))],
-                ["page_id", "url", "text", "lines", "hashes"],
+                [part.column("page_id"), part.column("url"), pa.array(lines, pa.list_(pa.string())), pa.array(own, pa.list_(pa.int64())), pa.array(key, pa.int64()), pa.array(article, pa.bool_()), pa.array(hashes, pa.list_(pa.int64()))],
+                ["page_id", "url", "lines", "own", "key", "article", "hashes"],
             )
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of sorted pages that have lines left to decide. One beside the edge of its partition whose neighbour may lie beyond waits
-    (kind 1, with its lines); the first and the last page of each partition are handed on with their hashes (kind 2 and 3)."""
+def _decided(row: dict, around: list[dict]) -> list[int]:
+    return repeated(row["own"], row["article"], [x["hashes"] or x["own"] for x in around if x["host"] == row["host"]])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, key, gone) of sorted pages that repeat lines of those around them. The first and the last four of each partition, of
+    which some have neighbours beyond it, are handed on whole, with their place."""
     from pyspark import TaskContext
 
     here = TaskContext.get().partitionId()
-    names = ["kind", "part", "host", "page_id", "url", "text", "lines", "hashes", "other"]
-    types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    rows: list[tuple] = []
-    made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(types), types)], names)
-
-    def out(now: dict, before: dict | None, after: dict | None) -> None:
-        if now["lines"] is None:
-            return
-        same = lambda x: x is not None and x["host"] == now["host"]
-        if before is None or not same(before) and after is None:
-            rows.append((1, here, now["host"], now["page_id"], now["url"], None, now["lines"], now["hashes"], after["hashes"] if same(after) else None))
-        else:
-            other = before if same(before) else after if same(after) else None
-            rows.append((0, here, None, now["page_id"], now["url"], different(now["lines"], now["hashes"], other and other["hashes"]), None, None, None))
-
-    before = now = None
+    names = ["part", "at", "host", "key", "article", "own", "hashes", "gone"]
+    types = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types)], names)
+    held: list[dict] = []  # the last five pages
+    n = 0
     for batch in batches:
+        rows = []
         for a in range(0, batch.num_rows, 500):
-            for new in batch.slice(a, 500).to_pylist():
-                if now is None:
-                    rows.append((2, here, new["host"], None, None, None, None, new["hashes"], None))
-                else:
-                    out(now, before, new)
-                before, now = now, new
-            yield made()
-            rows.clear()
-    if now is not None:
-        out(now, before, None)
-        rows.append((3, here, now["host"], None, None, None, None, now["hashes"], None))
-    yield made()
+            for row in batch.slice(a, 500).to_pylist():
+                row |= {"part": here, "at": n}
+                n += 1
+                if n <= 4:
+                    rows.append(row)
+                held = [*held[-4:], row]
+                if len(held) == 5 and (gone := _decided(held[2], held[:2] + held[3:])):
+                    rows.append({"host": held[2]["host"], "key": held[2]["key"], "gone": gone})
+        yield made(rows)
+    yield made([row for row in held[-4:] if row["at"] >= 4])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -213,39 +213,36 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Blocks are joined by ``\\n``; white space within one is one space; a line break ends a block. Lines of a page are its blocks outside
     of navigation, footers, asides, forms, scripts, styles, notices, adverts and comments, as element names, roles, classes and ids
-    tell. A page's neighbour is the page before it by (path, url, page_id) on its host, or the one after it for the first; lines
-    that the pair shares go, unless the page has an article element: then its lines are the text, whatever else is shared. A
-    page alone on its host has no neighbour. Null or empty html gives an empty text; a null url is a host of its own. Repeated
+    tell, and only those in article elements if it has any. Pages of a host with the same lines are one page, which stands at the first
+    of their addresses; its neighbours are the two pages before and the two after it by (path, url, page_id) on the host. Lines that two
+    neighbours share go, or that the only one shares; one that shares more than half of an article's lines is no neighbour
+    of it. A page alone on its host keeps all. Null or empty html gives an empty text; null urls are a host of their own. Repeated
     rows are pages each. Other columns play no part.
     """
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    cut = src.mapInArrow(_cut, "page_id long, url string, text string, lines array<string>, hashes array<long>")
+    cut = src.mapInArrow(_cut, "page_id long, url string, lines array<string>, own array<long>, key long, article boolean, hashes array<long>")
     url = F.regexp_replace(F.coalesce("url", F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*:", "")
     host = F.lower(F.regexp_extract(url, "^//([^/?#]*)", 1))
     path = F.regexp_extract(url, "^(?://[^/?#]*)?([^?#]*)", 1)
     stored = save(cut.withColumns({"host": host, "path": path}), "pages")
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["host", "path", "url", "page_id"]
-    # texts that are decided stay where they are; hashes and undecided lines are sorted
-    sorted_pages = stored.select(*order, "lines", "hashes").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    order = ["host", "path", "url", "page_id", "key"]
+    # hashes alone are sorted; lines stay where they are
+    first = stored.filter("key is not null").groupBy("host", "key").agg(F.min(F.struct("path", "url", "page_id", "article", "own", "hashes")).alias("first"))
+    sorted_pages = first.select("host", "key", "first.*").repartitionByRange(n, *order).sortWithinPartitions(*order)
     compared = save(
-        sorted_pages.mapInArrow(_ends, "kind int, part int, host string, page_id long, url string, text string, lines array<string>, hashes array<long>, other array<long>"), "compared"
+        sorted_pages.mapInArrow(_compared, "part int, at long, host string, key long, article boolean, own array<long>, hashes array<long>, gone array<int>"), "compared"
     )
-    # at most two rows of each partition
-    edges = {(r["kind"], r["part"]): (r["host"], r["hashes"]) for r in compared.filter("kind in (2, 3)").select("kind", "part", "host", "hashes").collect()}
-    parts = sorted({p for _, p in edges})
-    around = {p: (edges[3, parts[k - 1]] if k else None, edges[2, parts[k + 1]] if k + 1 < len(parts) else None) for k, p in enumerate(parts)}
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = []
-            for r in batch.to_pylist():
-                before, after = around[r["part"]]
-                other = before[1] if before and before[0] == r["host"] else r["other"] if r["other"] is not None else after[1] if after and after[0] == r["host"] else None
-                text.append(different(r["lines"], r["hashes"], other))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
-
-    waiting = compared.filter("kind = 1").select("part", "host", "page_id", "url", "lines", "hashes", "other").mapInArrow(settle, "page_id long, url string, text string")
-    decided = stored.filter("text is not null").select("page_id", "url", "text")
-    both = decided.unionByName(compared.filter("kind = 0").select("page_id", "url", "text")).unionByName(waiting)
+    # at most eight rows of each partition
+    edges = [r.asDict() for r in compared.filter("part is not null").drop("gone").orderBy("part", "at").collect()]
+    last = {r["part"]: r["at"] for r in edges}
+    rows = []
+    for k, r in enumerate(edges):
+        if (r["at"] < 2 or r["at"] > last[r["part"]] - 2) and (gone := _decided(r, edges[max(0, k - 2) : k] + edges[k + 1 : k + 3])):
+            rows.append((r["host"], r["key"], gone))
+    beside = pages.sparkSession.createDataFrame(rows, "host string, key long, gone array<int>")
+    # written, so that Spark knows its size and chooses the join by it
+    gone = save(compared.filter("part is null").select("host", "key", "gone").unionByName(beside), "gone")
+    left = F.filter("lines", lambda _, k: ~F.coalesce(F.array_contains("gone", k), F.lit(False)))
+    both = stored.select("page_id", "url", "host", "key", "lines").join(gone, ["host", "key"], "left").select("page_id", "url", F.array_join(left, "\n").alias("text"))
     return both.withColumn("n_chars", F.length("text").cast("long"))

@@ -363,6 +363,29 @@ def test_extract(spark):
     assert extract(src.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", ["1", "3", "7"])
+def test_extract_copies_and_articles(spark, parts):
+    from codestrata.llm.html_extraction import extract
+
+    plain = lambda s: f"<div><p>Site</p><p>{s}</p><p>more {s}</p><p>Imprint</p></div>"
+    art = lambda s: PAGE.format(f"<article><div>Notice</div><p>{s}</p><p>more {s}</p></article>")
+    rows, want = [], []
+    for host, page, copies in (("p.org", plain, 4), ("a.org", art, 4)):
+        for k in range(4):
+            for c in range(copies if k != 2 else 1):  # repeated rows, schemes, queries, fragments, other paths
+                url = [f"http://{host}/{k}", f"https://{host}/{k}", f"http://{host}/{k}?utm_source=x#top", f"http://{host}/{k}/copy"][c]
+                for _ in range(2):
+                    rows.append((len(rows), url, page(f"{host} {k}")))
+                    want.append(f"{host} {k}\nmore {host} {k}")
+    # a near copy of an article, and the only two pages of a host
+    rows += [(900, "http://n.org/1", PAGE.format("<article><p>a</p><p>b</p><p>c</p></article>")), (901, "http://n.org/2", PAGE.format("<article><p>a</p><p>b</p><p>d</p></article>"))]
+    want += ["a\nb\nc", "a\nb\nd"]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    got = [r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want
+
+
 # ---- Jaccard join
 
 
