@@ -14,8 +14,8 @@ from codestrata.llm import kernel
 
 #: Hashed byte trigrams; documents of each language that the model is fitted on, in expectation; languages at most (the commonest).
 BUCKETS, SAMPLE, LANGS = 1 << 16, 2000, 64
-#: Rounds of expectation maximisation; sizes of language sets that are compared; weight of the penalty, log(words) / 2 a share.
-ROUNDS, LARGEST_SET, PENALTY = 10, 3, 4.0
+#: Rounds of expectation maximisation; weight of the penalty, log(words) / 2 a share.
+ROUNDS, PENALTY = 10, 4.0
 LETTERS = kernel.WORDY.copy()
 LETTERS[0x30:0x3A] = False
 
@@ -98,14 +98,21 @@ def predict_slice(data: np.ndarray, bounds: np.ndarray, logp: np.ndarray) -> tup
     share, _ = _mixture(like, first, best, ROUNDS)
     order = np.argsort(-share, 1, kind="stable")
     top = np.full(len(n), -np.inf)
-    for m in range(1, min(langs, LARGEST_SET) + 1):
-        inside = np.zeros_like(share)
-        np.put_along_axis(inside, order[:, :m], 1.0, 1)
-        start = share * inside + 1e-9 * inside
-        own, fit = _mixture(like, first, start / start.sum(1, keepdims=True), 0 if m == 1 else 4)
-        fit -= PENALTY * 0.5 * (m - 1) * np.log(np.maximum(n, 2))
-        better = fit > top
-        best[better], top[better] = own[better], fit[better]
+    for m in range(1, langs + 1):
+        penalty = PENALTY * 0.5 * (m - 1) * np.log(np.maximum(n, 2))
+        # no set's log-likelihood is above 0: documents for which the penalty alone is too much are settled
+        left = np.flatnonzero(1e-3 - penalty > top)
+        if not len(left):
+            break
+        own_words = like[np.repeat(np.isin(np.arange(len(n)), left), n)]
+        own_first = np.concatenate([[0], np.cumsum(n[left])])
+        inside = np.zeros_like(share[left])
+        np.put_along_axis(inside, order[left, :m], 1.0, 1)
+        start = share[left] * inside + 1e-9 * inside
+        own, fit = _mixture(own_words, own_first, start / start.sum(1, keepdims=True), 0 if m == 1 else 4)
+        fit -= penalty[left]
+        better = fit > top[left]
+        best[left[better]], top[left[better]] = own[better], fit[better]
     return best, n
 
 

@@ -208,6 +208,24 @@ def test_language(spark):
     assert [r["lang_pred"] for r in identify(docs(spark, [(1, "the")]), fit(docs(spark, [], "doc_id long, text string, lang string"))).collect()] == ["und"]
 
 
+def test_language_sets_of_more_than_three():
+    """Even mixtures of four and five languages: no language has a share of a third."""
+    from codestrata.llm.language_id import BUCKETS, _grams, predict_slice
+
+    words_of = ["the and with from", "der und nicht von", "les des pour dans", "los las para como", "och att inte som"]
+    logp = []
+    for text in words_of:
+        data = np.frombuffer(text.encode(), np.uint8)
+        ends = np.array([m.end() for m in re.finditer(r"\w+", text)])
+        starts = np.array([m.start() for m in re.finditer(r"\w+", text)])
+        counts = np.bincount(_grams(data, starts, ends)[0], minlength=BUCKETS) * 1000 + 0.5
+        logp.append(np.log(counts / counts.sum()))
+    texts = [" ".join(words_of[:k] * 20).encode() for k in (1, 4, 5)]
+    share, _ = predict_slice(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), np.array(logp, np.float32))
+    assert [(v > 0.01).sum() for v in share] == [1, 4, 5] and share[0].max() > 0.99
+    assert share[1].max() < 0.3 and share[2].max() < 0.25
+
+
 # ---- decontamination
 
 
