@@ -2,7 +2,8 @@
 
 A file that is a plain byte-level BPE (ids in the order of the merges, no normaliser) is run by tiktoken's core, which is several
 times as fast, over texts of characters that both libraries class alike; the ids are the same. Any other file or text is
-encoded by tokenizers itself.
+encoded by tokenizers itself: so are texts that hold an added token of the file, and those whose long runs exceed what
+tiktoken's regular expressions can hold.
 """
 
 from __future__ import annotations
@@ -55,31 +56,43 @@ def _fast(path: str):
 
 
 class Encoder:
-    """Token ids of whole texts, without special tokens; the strings of special tokens are ordinary text."""
+    """Token ids of whole texts, as tokenizers gives them with add_special_tokens=False: an added token's string has that token's id."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         fast = _fast(path)
         self.core = fast[0] if fast else None
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        # texts that only tokenizers reads: with other characters, or with an added token
+        self.other = re.compile("|".join([_OTHER.pattern, *map(re.escape, added)]))
         if fast:
             self.size = np.zeros(max(fast[1].values()) + 1, np.int64)
             for token, k in fast[1].items():
                 self.size[k] = len(token)
 
+    def _core_ids(self, text: str) -> np.ndarray | None:
+        """Ids by tiktoken's core, or None where only tokenizers' own count."""
+        if self.core is None or self.other.search(text):
+            return None
+        try:
+            return self.core.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # a run of white space longer than its backtracking holds
+            return None
+
     def ids(self, text: str) -> np.ndarray:
-        if self.core is not None and not _OTHER.search(text):
-            return self.core.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        got = self._core_ids(text)
+        if got is None:
+            got = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return got.astype("<u4", copy=False)
 
     def starts(self, text: str) -> np.ndarray:
         """The position of the first character of each token, or of the character that it is a part of."""
-        if self.core is None or _OTHER.search(text):
+        ids = self._core_ids(text)
+        if ids is None:
             return np.array([x for x, _ in self.tokenizer.encode(text, add_special_tokens=False).offsets], np.int64)
-        ids = self.core.encode_to_numpy(text, disallowed_special=())
         at = np.concatenate([[0], np.cumsum(self.size[ids])])[:-1].astype(np.int64)
         if text.isascii():
             return at

@@ -77,12 +77,23 @@ def test_encoder_equals_tokenizers():
     from codestrata.llm.tokens import Encoder
 
     own, theirs, rng = Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER), random.Random(2)
-    theirs.encode_special_tokens = True
     assert own.core is not None
     for _ in range(3000):
         text = "".join(rng.choice("abXY 019.,'\n\t\r  éßñ²ªÿĀ“漢🙂̀\x1c\x85 's't<|endoftext|>") for _ in range(rng.randrange(40)))
         e = theirs.encode(text, add_special_tokens=False)
         assert own.ids(text).tolist() == e.ids and own.starts(text).tolist() == [x for x, _ in e.offsets], repr(text)
+    assert own.ids("hello <|endoftext|> world").tolist() == [31373, 220, 50256, 995]
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "\r", "x"])
+def test_encoder_takes_long_runs(run):
+    from tokenizers import Tokenizer
+
+    from codestrata.llm.tokens import Encoder
+
+    text = "x" + run * 3_000_000 + "y"
+    own, e = Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False)
+    assert own.ids(text).tolist() == e.ids and own.starts(text).tolist() == [x for x, _ in e.offsets]
 
 
 def test_section_tokens(spark):
@@ -101,6 +112,25 @@ def test_section_tokens(spark):
     assert section_tokens(docs(spark, []), TOKENIZER).count() == 0
 
 
+def test_section_tokens_against_brute_force(spark):
+    """Each token goes to the section that holds its first character, found token by token."""
+    from tokenizers import Tokenizer
+
+    from codestrata.llm.token_counts import section_tokens
+
+    tok, rng = Tokenizer.from_file(TOKENIZER), random.Random(16)
+    rows = [(i, "".join(rng.choice(["word ", "é", "\n", "\n\n", " 12", "漢", "<|endoftext|>", "x" * 30, "  "]) for _ in range(rng.randrange(30)))) for i in range(80)]
+    want = {}
+    for i, t in rows:
+        cut = [0, *[k + 1 for k, c in enumerate(t) if c == "\n" and k + 1 < len(t)], len(t)]
+        for n, (a, b) in enumerate(zip(cut, cut[1:])):
+            want[i, n] = (a, b - a, 0)
+        for a, _ in tok.encode(t, add_special_tokens=False).offsets:
+            n = next(n for n, (x, y) in enumerate(zip(cut, cut[1:])) if x <= a < y)
+            want[i, n] = (*want[i, n][:2], want[i, n][2] + 1)
+    assert {(r["doc_id"], r["section"]): (r["start"], r["length"], r["n_tokens"]) for r in section_tokens(docs(spark, rows), TOKENIZER).collect()} == want
+
+
 # ---- sharding
 
 
@@ -283,6 +313,51 @@ def test_contaminated(spark):
     assert decontaminate(src, bench.limit(0)).count() == len(rows) and contaminated(src.limit(0), bench).count() == 0
 
 
+def spans_brute(items, texts):
+    """(text, item): least distance, and the ends and beginnings of the first of the nearest parts."""
+    from codestrata.llm.decontamination import budget
+
+    out = {}
+    for d, t in enumerate(texts):
+        for k, s in items:
+            p = s.split()
+            scores = distance(p, t.split())
+            if p and min(scores, default=99) <= budget(len(p)):
+                least = min(scores)
+                end = scores.index(least) + 1
+                begin = max(b for b in range(end + 1) if ([len(p)] + distance(p[::-1], t.split()[b:end][::-1]))[-1] == least)
+                out[d, k] = (least, begin, end)
+    return out
+
+
+def test_decontamination_of_few_words():
+    """Two to five different words: windows meet, pieces hit everywhere, and rows stand in any order."""
+    from codestrata.llm import kernel
+    from codestrata.llm.decontamination import Items
+
+    rng = random.Random(15)
+    import pyarrow as pa
+
+    for _ in range(60):
+        vocabulary = [f"v{k}" for k in range(rng.randrange(2, 6))]
+        say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))  # noqa: E731, B023
+        items = [(k, say(rng.choice([1, 3, 8, 12, 17, 25]))) for k in range(3)]
+        texts = [say(rng.randrange(40)) for _ in range(6)]
+        for k, s in items:
+            ws = s.split()
+            for _ in range(rng.randrange(4)):
+                x = rng.randrange(len(ws))
+                ws[x : x + 1] = rng.choice([[], [rng.choice(vocabulary)], [ws[x], rng.choice(vocabulary)]])
+                ws = ws or ["v0"]
+            texts.insert(rng.randrange(len(texts) + 1), " ".join([*texts[k].split()[: rng.randrange(5)], *ws]))
+        for order in (texts, texts[::-1], [texts[-1]]):
+            got = {}
+            for _, _, data, bounds in kernel.slices(pa.array(order)):
+                s, e, first = kernel.words(data, bounds, kernel.WORDY)
+                got |= {(d, item): (least, a, b) for d, item, least, a, b in Items(items).find(kernel.hashes(data, s, e), first)}
+            assert got == spans_brute(items, order)
+
+
 # ---- neighbours
 
 
