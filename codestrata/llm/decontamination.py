@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from codestrata.llm import kernel
 from codestrata.llm.common import save, text_key
 
-#: Words of an item for each edit; words of a piece that are looked up; items whose pieces the executors hold at once.
-WORDS_AN_EDIT, PROBE, ITEMS_AT_ONCE = 8, 4, 20_000
+#: Words of an item for each edit; words of a piece that are looked up; items, and bytes of them, whose pieces the executors hold at once.
+WORDS_AN_EDIT, PROBE, ITEMS_AT_ONCE, BYTES_AT_ONCE = 8, 4, 20_000, 1 << 25
 
 
 def budget(n: int) -> int:
@@ -92,28 +92,31 @@ class Items:
                 if p + size <= first[d + 1]:
                     for item, piece in found[int(hashed[p])]:
                         hits.add((d, item, p - piece))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        done: dict[tuple[int, int], int] = {}
+        spans: dict[tuple[int, int], list[list[int]]] = defaultdict(list)
         for d, item, start in sorted(hits):
-            if start < done.get((d, item), -1):
-                continue
+            n = len(self.items[item][1])
+            a, b = max(int(first[d]), start - budget(n)), min(int(first[d + 1]), start + n + budget(n))
+            own = spans[d, item]
+            if own and a <= own[-1][1]:  # windows that meet are read as one, so that no match is cut or read twice
+                own[-1][1] = max(own[-1][1], b)
+            else:
+                own.append([a, b])
+        for (d, item), own in spans.items():
             name, words = self.items[item]
-            k = budget(len(words))
-            a, b = max(int(first[d]), start - k), min(int(first[d + 1]), start + len(words) + k)
-            text = h[a:b].tolist()
-            scores = myers(words, text)
-            least = min(scores, default=len(words))
-            if least > k:
-                continue
-            end = scores.index(least) + 1
-            back = myers(words[::-1], text[:end][::-1])
-            begin = end - (back.index(least) + 1) if least in back else 0
-            done[d, item] = start + k + 1  # other pieces of this match
-            got = (least, a + begin - int(first[d]), a + end - int(first[d]))
-            if (d, item) not in best or got < best[d, item]:
-                best[d, item] = got
-        for (d, item), (least, x, y) in best.items():
-            yield d, self.items[item][0], least, x, y
+            best = None
+            for a, b in own:
+                text = h[a:b].tolist()
+                scores = myers(words, text)
+                least = min(scores, default=len(words))
+                if least > budget(len(words)) or best is not None and least >= best[0]:
+                    continue
+                end = scores.index(least) + 1
+                # the match stays within len(words) + least words before its end
+                back = myers(words[::-1], text[max(0, end - len(words) - least) : end][::-1])
+                begin = end - (back.index(least) + 1)
+                best = (least, a + begin - int(first[d]), a + end - int(first[d]))
+            if best is not None:
+                yield d, name, *best
 
 
 def contaminated(docs: DataFrame, items: DataFrame, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
@@ -121,10 +124,11 @@ def contaminated(docs: DataFrame, items: DataFrame, items_at_once: int = ITEMS_A
 
     th is the hash of the text, which tells rows with equal doc_id apart; rows equal in both give a match each. Null and empty
     texts and items match nothing. Items of fewer than 8 words must occur exactly. ``items`` (item_id, text) are a query set: they
-    are held against all rows in blocks of about ``items_at_once``. Of equal matches the first counts. Items may repeat.
+    are held against all rows in blocks of about ``items_at_once`` items and ``BYTES_AT_ONCE`` bytes. Of equal matches the first, and of
+    those that end together the shortest, counts. Items may repeat.
     """
-    n = items.count()
-    blocks = max(1, -(-n // items_at_once))
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string")).cast("long")), F.lit(0))).first()
+    blocks = max(1, -(-n // items_at_once), -(-size // BYTES_AT_ONCE))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, th long, item_id long, distance int, first_word int, end_word int"
     out = None
