@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import save
+from codestrata.llm.common import drop, save
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
     seen = _digest(now)
     while True:
-        now = save(_star(save(_star(now, True), "large"), False), "small")
+        large = save(_star(now, True), "large")
+        before, now = now, save(_star(large, False), "small")
+        drop(before, large)
         new = _digest(now)
         if new == seen:
             break

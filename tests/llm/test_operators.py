@@ -154,6 +154,20 @@ def test_shards(spark):
     assert shards(docs(spark, []), 400).count() == 0
 
 
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    from codestrata.llm.sharding import write_shards
+
+    rows = [(1, "a" * 300, 5), (1, "b" * 300, 6), (1, "a" * 300, 5), (1, "a" * 300, 7), (None, None, 8), (None, None, 8), (2, "", 9), *[(k, "x" * 50, k) for k in range(40)]]
+    write_shards(docs(spark, rows, "doc_id long, text string, shard int"), str(tmp_path / "out"), 400)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, got.select("doc_id", "text").collect())) == sorted(map(key, [r[:2] for r in rows]))
+    size = {(r[0], r[1]): r[2] for r in got.groupBy("shard_bits", "shard").agg(F.sum(F.length("text"))).collect()}
+    assert len(size) > 5 and max(x or 0 for x in size.values()) == 900 and sorted(x or 0 for x in size.values())[-2] <= 400
+    write_shards(docs(spark, []), str(tmp_path / "none"), 400)
+    assert spark.read.schema("doc_id long").parquet(str(tmp_path / "none")).count() == 0
+
+
 # ---- packing
 
 
