@@ -63,21 +63,65 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+class Sums:
+    """The lengths that are left, indexed by the sums of one, two and three of them. ``left`` (pieces of each length) only ever falls, so
+    an entry that has run out is dropped for good when a search meets it."""
+
+    def __init__(self, left: np.ndarray, capacity: int) -> None:
+        self.left = left
+        have = left > 0
+        # by sum: the larger length of each pair, ascending; one length of each triple whose others are a pair
+        self.pairs: list[list[int]] = [[] for _ in range(capacity + 1)]
+        for total in range(2, capacity + 1):
+            a = np.arange((total + 1) // 2, total)
+            self.pairs[total] = a[have[a] & have[total - a]].tolist()
+        paired = np.array([bool(x) for x in self.pairs])
+        self.triples: list[list[int]] = [[] for _ in range(capacity + 1)]
+        for total in range(3, capacity + 1):
+            a = np.arange((total + 2) // 3, total - 1)
+            self.triples[total] = a[have[a] & paired[total - a]].tolist()
+
+    def times(self, lengths: list[int]) -> int:
+        """How often these lengths can be taken together."""
+        return min(int(self.left[x]) // lengths.count(x) for x in set(lengths))
+
+    def _live(self, entries: list[int], lost) -> list[int]:
+        if any(map(lost, entries)):
+            entries[:] = [a for a in entries if not lost(a)]
+        return entries
+
+    def pair(self, total: int, held: list[int]) -> list[int] | None:
+        """Two lengths with that sum that are left beside those ``held``, the larger ones first."""
+        for a in reversed(self._live(self.pairs[total], lambda a: not (self.left[a] and self.left[total - a]))):
+            if self.times([*held, a, total - a]):
+                return [a, total - a]
+        return None
+
+    def exact(self, gap: int, held: list[int]) -> list[int] | None:
+        """One, two or three lengths that fill ``gap``."""
+        if self.left[gap] and self.times([*held, gap]):
+            return [gap]
+        if two := self.pair(gap, held):
+            return two
+        for a in reversed(self._live(self.triples[gap], lambda a: not (self.left[a] and self.pairs[gap - a]))):
+            if self.times([*held, a]) and (two := self.pair(gap - a, [*held, a])):
+                return [a, *two]
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, pieces a sequence, sequences, first sequence, offset): where the pieces of each length go."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
     used = np.zeros(capacity + 1, np.int64)
+    sums = Sums(left, capacity)
     out: list[tuple[int, int, int, int, int, int]] = []
     made = 0
 
-    def times(lengths: list[int]) -> int:
-        return min(int(left[x]) // lengths.count(x) for x in set(lengths))
-
     def emit(lengths: list[int]) -> None:
         nonlocal made
-        n, offset = times(lengths), 0
+        n, offset = sums.times(lengths), 0
         for x, same in groupby(sorted(lengths, reverse=True)):
             m = len(list(same))
             out.append((x, int(used[x]), m, n, made, offset))
@@ -86,36 +130,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
             offset += m * x
         made += n
 
-    def pairs(total: int, held: list[int]):
-        """Two lengths with that sum, the larger ones first."""
-        x = np.arange(total - 1, (total - 1) // 2, -1)
-        for a in x[(left[x] > 0) & (left[total - x] > 0)].tolist():
-            if times([*held, a, total - a]):
-                return [a, total - a]
-        return None
-
-    def exact(gap: int, held: list[int]) -> list[int] | None:
-        if left[gap] and times([*held, gap]):
-            return [gap]
-        if gap > 1 and (two := pairs(gap, held)):
-            return two
-        if gap > 2:
-            for a in (np.flatnonzero(left[(gap + 2) // 3 : gap - 1]) + (gap + 2) // 3).tolist()[::-1]:
-                if times([*held, a]) and (two := pairs(gap - a, [*held, a])):
-                    return [a, *two]
-        return None
-
     if left[capacity]:
         emit([capacity])
     for x in range(capacity - 1, 0, -1):
-        while left[x] and (more := exact(capacity - x, [x])):
+        while left[x] and (more := sums.exact(capacity - x, [x])):
             emit([x, *more])
     while (rest := np.flatnonzero(left)).size:
         held = [int(rest[-1])]
         gap = capacity - held[0]
         while gap > 0:
             # best fit: the single, pair or triple that leaves least
-            more = next((m for g in range(gap, 0, -1) if (m := exact(g, held))), None)
+            more = next((m for g in range(gap, 0, -1) if (m := sums.exact(g, held))), None)
             if not more:
                 break
             held += more
@@ -124,28 +149,32 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return out
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, salt: int = SALT) -> DataFrame:
     """The pieces of ``cut`` (any columns with length between 1 and ``capacity``) with sequence_id and offset (both long).
 
-    Pieces of one length are interchangeable, ties between them go by doc_id and piece. An empty table stays empty.
+    Pieces of one length are interchangeable; they are ranked as they stand in the written table, in groups of ``salt`` at most and of
+    an even part of all tasks' rows, whatever their ids. An empty table stays empty.
     """
+    spark, named = cut.sparkSession, cut.columns
+    cut = save(cut.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     entries = sorted(plan(counts, capacity))
     key = np.array([(e[0] << 44) + e[1] for e in entries], np.int64)
     cols = [np.array([e[k] for e in entries], np.int64) for k in range(6)]
-    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / SALT)).cast("int")
-    sizes = cut.sparkSession.createDataFrame(sorted(counts.items()), "length long, n long").select("length", salts.alias("salts"))
-    salted = cut.join(F.broadcast(sizes), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), "salts"))
-    base = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    base = base.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("base"))
-    number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("number", number).join(base, ["length", "salt"]).withColumn("rank", F.col("number") + F.col("base"))
-    named = cut.columns
-    ranked = ranked.select(*named, F.col("rank").cast("long").alias("rank"))
+    size = max(1, min(salt, sum(counts.values()) // (8 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    sizes = spark.createDataFrame([(x, -(-n // size)) for x, n in sorted(counts.items())], "length long, __salts long")
+    # as many rows as there are lengths
+    salted = cut.join(F.broadcast(sizes), "length").withColumn("__salt", F.pmod(F.xxhash64("__row"), "__salts"))
+    base = salted.groupBy("length", "__salt").agg(F.count("*").alias("n"))
+    base = base.select("length", "__salt", (F.sum("n").over(Window.partitionBy("length").orderBy("__salt")) - F.col("n")).alias("__base"))
+    number = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("__row")) - 1
+    ranked = salted.withColumn("__number", number).join(base, ["length", "__salt"])
+    ranked = ranked.select(*named, (F.col("__number") + F.col("__base")).cast("long").alias("__rank"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "__rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(x).to_numpy().astype(np.int64) for x in ("length", "rank"))
+            length, rank = (batch.column(x).to_numpy().astype(np.int64) for x in ("length", "__rank"))
             k = np.searchsorted(key, (length << 44) + rank, "right") - 1
             _, first, per, _, seq, offset = (c[k] for c in cols)
             own = [batch.column(x) for x in named]
@@ -154,10 +183,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 [*named, "sequence_id", "offset"],
             )
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
     return ranked.mapInArrow(place, f"{kept}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """pieces() of ``docs``, packed. Repeated rows are packed each; a null doc_id stays null."""
-    return pack(save(pieces(docs, tokenizer, capacity, end, with_ids), "pieces"), capacity)
+    return pack(pieces(docs, tokenizer, capacity, end, with_ids), capacity)

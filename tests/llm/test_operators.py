@@ -201,6 +201,64 @@ def test_plan_fills_exactly_where_it_can():
     assert len(made) <= -(-sum(k * v for k, v in counts.items()) // 1024) * 1.01 + 1
 
 
+def fewest(lengths, capacity):
+    """The fewest sequences, by search through all ways."""
+    best = len(lengths)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(lengths):
+            best = len(bins)
+            return
+        for room in sorted(set(bins)):
+            if room >= lengths[k]:
+                rest = list(bins)
+                rest.remove(room)
+                place(k + 1, [*rest, room - lengths[k]])
+        place(k + 1, [*bins, capacity - lengths[k]])
+
+    lengths = sorted(lengths, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_plan_against_the_optimum():
+    from codestrata.llm.packing import plan
+
+    rng = random.Random(17)
+    made, least = [], []
+    for _ in range(300):
+        capacity = rng.choice([7, 12, 20])
+        lengths = [rng.randint(1, capacity) for _ in range(rng.randrange(1, 10))]
+        counts = {x: lengths.count(x) for x in lengths}
+        made.append(sum({seq: n for _, _, _, n, seq, _ in plan(counts, capacity)}.values()))
+        least.append(fewest(lengths, capacity))
+    assert all(0 <= a - b <= 1 for a, b in zip(made, least)) and sum(made) <= 1.02 * sum(least)
+    # four lengths for each sequence, one of them above half of it: all fill exactly
+    counts = {}
+    for _ in range(200):
+        parts = [*sorted(rng.sample(range(1, 512), 2)), 512]
+        for x in (1024 - parts[2], parts[0], parts[1] - parts[0], parts[2] - parts[1]):
+            counts[x] = counts.get(x, 0) + 1
+    assert sum({seq: n for _, _, _, n, seq, _ in plan(counts)}.values()) <= 202
+
+
+def test_packing_splits_one_length(spark):
+    """Repeated rows without an id, all of one length, in groups of at most five."""
+    from codestrata.llm.packing import pack
+
+    cut = docs(spark, [(None, 0, 300)] * 101 + [(3, 1, 424)] * 40, "doc_id long, piece int, length long").withColumn("salt", F.lit("clash"))
+    place = {}
+    for r in pack(cut, salt=5).collect():
+        assert r["salt"] == "clash"
+        place.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sum(map(len, place.values())) == 141 and len(place) == 47
+    for s in place.values():
+        assert sorted(s)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(s), sorted(s)[1:])) and sum(n for _, n in s) <= 1024
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
