@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm import kernel
+from codestrata.llm.common import save
 
-#: Hashed byte trigrams; documents of each language that the model is fitted on, in expectation; languages at most (the commonest).
-BUCKETS, SAMPLE, LANGS = 1 << 16, 2000, 64
+#: Hashed byte trigrams; documents of each language that the model is fitted on, in expectation; likelihoods (words x languages) that are
+#: held at once, but for a longer text.
+BUCKETS, SAMPLE, CELLS = 1 << 16, 2000, 1 << 22
 #: Rounds of expectation maximisation; weight of the penalty, log(words) / 2 a share.
 ROUNDS, PENALTY = 10, 4.0
 LETTERS = kernel.WORDY.copy()
@@ -53,22 +55,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(n[k].astype(np.int64))], ["lang", "bucket", "n"])
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, langs: int = LANGS) -> tuple[list[str], np.ndarray]:
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """The languages and the log-likelihoods of trigrams under each, from ``labelled`` (doc_id, text, lang).
 
-    About ``sample`` documents of each language are used, chosen by a hash of doc_id; rows without lang, text or doc_id are not.
+    About ``sample`` documents of each language are used, chosen by a hash of doc_id; rows without lang, text or doc_id are not. Every
+    language that occurs is learned: the model's size is that of languages x ``BUCKETS``.
     """
     rows = labelled.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()}
-    names = sorted(n)
+    share = save(rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*") * 1e6).alias("share")), "languages")
+    picked = rows.join(share, "lang").filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < F.col("share"))
+    found = picked.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    lang = found.column("lang").combine_chunks().dictionary_encode()
+    # a language whose sample is empty or without letters counts too: all trigrams are alike under it
+    names = sorted(r["lang"] for r in share.select("lang").collect())
     if not names:
         return [], np.zeros((0, BUCKETS), np.float32)
-    share = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, sample / n[k]) * 1e6)])
-    picked = rows.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")))
-    counts = np.zeros((len(names), BUCKETS))
-    for r in picked.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
-        counts[names.index(r["lang"]), r["bucket"]] = r["n"]
-    return names, np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS)).astype(np.float32)
+    place = np.array([names.index(x) for x in lang.dictionary.to_pylist()], np.int64)
+    counts = np.zeros((len(names), BUCKETS), np.float32)
+    if len(lang):
+        counts[place[lang.indices.to_numpy()], found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return names, np.log((counts + 0.5) / (counts.sum(1, keepdims=True, dtype=np.float64) + 0.5 * BUCKETS)).astype(np.float32)
 
 
 def _mixture(like: np.ndarray, first: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,13 +94,30 @@ def predict_slice(data: np.ndarray, bounds: np.ndarray, logp: np.ndarray) -> tup
     """(documents x languages) shares of the chosen language sets, and the number of words of each document."""
     s, e, first = kernel.words(data, bounds, LETTERS)
     n = np.diff(first)
-    langs = len(logp)
-    best = np.full((len(n), langs), 1.0 / max(1, langs))
-    if not len(s) or not langs:
+    best = np.full((len(n), len(logp)), 1.0 / max(1, len(logp)))
+    if not len(s) or not len(logp):
         return best, n
+    a = 0
+    while a < len(n):
+        # consecutive texts whose likelihoods fit, one at least
+        b = max(a + 1, int(np.searchsorted(first, first[a] + CELLS // len(logp), "right")) - 1)
+        own = slice(first[a], first[b])
+        best[a:b] = _predict(data, s[own], e[own], first[a : b + 1] - first[a], logp)
+        a = b
+    return best, n
+
+
+def _predict(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """Shares of the language sets of the texts whose words are ``s`` to ``e``. The sets are nested: those of the m largest shares."""
+    n = np.diff(first)
+    langs = len(logp)
+    best = np.full((len(n), langs), 1.0 / langs)
+    if not len(s):
+        return best
     g, at = _grams(data, s, e)
     ll = np.stack([kernel.sums(p[g].astype(np.float64), at) for p in logp], 1)
     like = np.exp(ll - ll.max(1, keepdims=True)).astype(np.float32)
+    del ll
     share, _ = _mixture(like, first, best, ROUNDS)
     order = np.argsort(-share, 1, kind="stable")
     top = np.full(len(n), -np.inf)
@@ -113,7 +136,7 @@ def predict_slice(data: np.ndarray, bounds: np.ndarray, logp: np.ndarray) -> tup
         fit -= penalty[left]
         better = fit > top[left]
         best[left[better]], top[left[better]] = own[better], fit[better]
-    return best, n
+    return best
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:

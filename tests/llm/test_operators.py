@@ -328,6 +328,70 @@ def test_language_sets_of_more_than_three():
     assert share[1].max() < 0.3 and share[2].max() < 0.25
 
 
+def test_language_mixtures_against_plain_em():
+    """Shares of language sets by loops over words: expectation maximisation, and the set of the best penalised likelihood."""
+    import math
+
+    from codestrata.llm import language_id as L
+
+    rng = random.Random(18)
+    vocabulary = [["the", "and", "with", "from"], ["der", "und", "nicht", "von"], ["les", "des", "pour", "dans"]]
+    table = np.random.default_rng(18).normal(size=(3, L.BUCKETS)).astype(np.float32) - 9
+    texts = [" ".join(rng.choice(rng.choice(vocabulary[: rng.randrange(1, 4)])) for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+
+    def gram_sum(word, k):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return float(table[k][L._grams(data, np.array([0]), np.array([len(word)]))[0]].astype(np.float64).sum())
+
+    def em(like, share, rounds):
+        for _ in range(rounds):
+            total = [0.0] * 3
+            for w in like:
+                z = sum(x * y for x, y in zip(share, w))
+                total = [t + x * y / z for t, x, y in zip(total, share, w)]
+            share = [t / len(like) for t in total]
+        return share, sum(math.log(max(1e-30, sum(x * y for x, y in zip(share, w)))) for w in like)
+
+    data = "\n".join(texts).encode()
+    cuts = np.cumsum([0, *[len(t.encode()) + 1 for t in texts]])
+    cuts[-1] -= 1
+    for cells in (L.CELLS, 30):  # also a few texts at a time
+        old, L.CELLS = L.CELLS, cells
+        got, n = L.predict_slice(np.frombuffer(data, np.uint8), cuts, table)
+        L.CELLS = old
+        for t, own, count in zip(texts, got, n):
+            ws = t.split()
+            assert count == len(ws)
+            like = []
+            for w in ws:
+                ll = [gram_sum(w, k) for k in range(3)]
+                like.append([math.exp(x - max(ll)) for x in ll])
+            share, _ = em(like, [1 / 3] * 3, L.ROUNDS)
+            order = sorted(range(3), key=lambda k: (-share[k], k))
+            best = (-math.inf, None)
+            for m in (1, 2, 3):
+                start = [share[k] + 1e-9 if k in order[:m] else 0.0 for k in range(3)]
+                shares, fit = em(like, [x / sum(start) for x in start], 0 if m == 1 else 4)
+                fit -= L.PENALTY * 0.5 * (m - 1) * math.log(max(2, len(ws)))
+                best = max(best, (fit, shares), key=lambda x: x[0])
+            assert np.allclose(own, best[1], atol=1e-3), t
+
+
+def test_many_languages_and_ties(spark):
+    """Eighty languages are all learned; under a model that can't tell two apart the first by name is named."""
+    from codestrata.llm.language_id import fit, identify
+
+    rng = random.Random(19)
+    speak = lambda k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{rng.choice('xyz')}" for _ in range(12))
+    rows = [(i, speak(i % 80), f"l{i % 80:02d}") for i in range(800)]
+    model = fit(docs(spark, rows, "doc_id long, text string, lang string"))
+    assert len(model[0]) == 80
+    got = identify(docs(spark, [(k, speak(k), f"l{k:02d}") for k in range(80)], "doc_id long, text string, want string"), model).collect()
+    assert np.mean([r["lang_pred"] == r["want"] for r in got]) > 0.95
+    same = fit(docs(spark, [(1, "abc", "b"), (2, "abc", "a")], "doc_id long, text string, lang string"))
+    assert [r["lang_pred"] for r in identify(docs(spark, [(5, "abc abc")]), same).collect()] == ["a"]
+
+
 # ---- decontamination
 
 
