@@ -1,8 +1,13 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Each of several orderings projects the vectors onto a few random directions, shifts them and sorts them along a Hilbert
-curve. The rows of an ordering are cut by range into blocks of neighbouring keys; a query is compared with all rows of the
-blocks in its window, and the best of all orderings are merged.
+Equal vectors are one point. Each of several orderings projects the points onto a few random directions, shifts them and sorts them
+along a Hilbert curve, by range. An ordering is cut into blocks of neighbouring points; a query is compared with all points of the
+blocks in its window, and the best of all orderings are merged and reranked.
+
+How many orderings are used and how wide the windows are follows from a measurement: a bounded number of queries are compared with all
+points, and of the choices that find enough of their neighbours the one with least work is taken. On vectors with structure windows
+are a constant number of points; where neighbours hardly lie nearer than any others, as with random directions, no window below a
+share of all points finds them, and the measurement says so.
 """
 
 from __future__ import annotations
@@ -11,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import runs, save
+from codestrata.llm.common import drop, save
 
 BITS = 8
 
@@ -47,10 +52,12 @@ def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-#: Orderings; directions of each; share of the blocks on either side of a query's own; rows of a block.
-CURVES, DIMS, SHARE, BLOCK = 3, 3, 0.2, 2048
-#: Rows from which the scale of the projections is taken.
-SCALE_ROWS = 4096
+#: Orderings at most; directions of each; points of a block.
+CURVES, DIMS, BLOCK = 8, 6, 512
+#: Points from which the scale of the projections is taken; queries that are measured; the share of their neighbours to be found.
+SCALE_ROWS, MEASURED, TARGET = 4096, 64, 0.94
+#: Comparisons that take as long as moving one point to its block.
+MOVE = 100
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -58,91 +65,122 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1).astype(np.float64)
 
 
-def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> Iterator[tuple[list[int], list[float]]]:
-    """The k nearest rows of x to each row of q. The fast product only preselects: what counts is each pair's own sum, so that
-    equal vectors have equal scores wherever they stand."""
+def _best(q: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The k nearest points of x to each row of q, and their scores. The fast product only preselects: what counts is each pair's own
+    sum, so that equal vectors have equal scores wherever they stand."""
     for a in range(0, len(q), 256):
-        fast = q[a : a + 256] @ x.T
-        for r, row in enumerate(fast):
-            row[xid == qid[a + r]] = -np.inf
-            have = int(np.isfinite(row).sum())
-            if have > k:
-                least = np.partition(row, len(row) - k)[len(row) - k]
-                c = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
-            else:
-                c = np.flatnonzero(np.isfinite(row))
+        for r, row in enumerate(q[a : a + 256] @ x.T):
+            c = np.flatnonzero(np.isfinite(row))
+            if len(c) > k:
+                least = np.partition(row[c], len(c) - k)[len(c) - k]
+                c = c[row[c] >= least - 1e-9 * max(1.0, abs(least))]
             s = (x[c] * q[a + r]).sum(1)
             o = np.lexsort((xid[c], -s))[:k]
-            yield xid[c][o].tolist(), s[o].tolist()
+            yield xid[c][o], s[o]
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURVES, dims: int = DIMS, share: float = SHARE, block: int = BLOCK, seed: int = 1) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest rows found for every row whose vec_id is divisible by ``every``.
+def _found(asks: pa.Array, best: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    size = [len(i) for i, _ in best]
+    none = [np.zeros(0, np.int64)], [np.zeros(0)]
+    ids, scores = (np.concatenate([*x, *(b[n] for b in best)]) for n, x in enumerate(none))
+    return pa.RecordBatch.from_arrays([asks.take(pa.array(np.repeat(np.arange(len(size)), size), pa.int64())), pa.array(ids), pa.array(scores)], ["asks", "point", "score"])
 
-    ``vectors`` has vec_id and embedding. Nearness is the inner product in double precision; ties go to the smaller vec_id. A row
-    is no neighbour of its own vec_id. Rows whose vec_id is null, whose vector is null or zero or holds null or non-finite
-    components, or has another length than most vectors, take no part. Of rows with equal vec_id each may be found. All rows
-    are indexed; only the scale of the projections comes from the ``SCALE_ROWS`` first by hash of vec_id. The window is a share of
-    all blocks, so the rows compared grow with the square of the rows, as with comparing all, if slower.
-    """
-    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+
+def _points(vectors: DataFrame, k: int, every: int) -> tuple[DataFrame, DataFrame]:
+    """Points (point, embedding, members, asking) and queries (vec_id, row, point): the rows of equal vectors are one point, named by the
+    row that comes first by (vec_id, row), with as many members as one query can find."""
     e = F.col("embedding")
     off = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(
-        F.col("vec_id").isNotNull() & e.isNotNull() & ~F.exists(e, off) & F.exists(e, lambda x: x != 0)
-    )
-    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    length = valid.groupBy(F.size(e).alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
+    valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e).filter(F.col("vec_id").isNotNull() & e.isNotNull() & ~F.exists(e, off) & F.exists(e, lambda x: x != 0))
+    rows = save(valid.withColumns({"row": F.monotonically_increasing_id(), "a": F.xxhash64(F.lit(1), e), "b": F.xxhash64(F.lit(2), e)}), "vectors")
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("vec_id", "row"))
+    # a vector that a large part of all rows hold is cut down by each of many tasks before its rows meet
+    few = rows.select("a", "b", "vec_id", "row").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(1024)))
+    few = few.withColumn("n", first("a", "b", "salt")).filter(F.col("n") <= k + 1).withColumn("n", first("a", "b")).filter(F.col("n") <= k + 1)
+    members = few.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("vec_id", "row"))).alias("members")).withColumn("point", F.col("members")[0]["row"])
+    asked = rows.filter(F.col("vec_id") % every == 0).select("a", "b", "vec_id", "row")
+    members = save(members.join(asked.select("a", "b", F.lit(True).alias("asking")).distinct(), ["a", "b"], "left").withColumn("asking", F.coalesce("asking", F.lit(False))), "members")
+    points = members.select("point", "members", "asking").join(rows.select(F.col("row").alias("point"), "embedding"), "point")
+    return points, asked.join(members.filter("asking").select("a", "b", "point"), ["a", "b"]).select("vec_id", "row", "point")
+
+
+def nearest(
+    vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURVES, dims: int = DIMS, block: int = BLOCK, target: float = TARGET, measured: int = MEASURED, seed: int = 1
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest rows found for every row whose vec_id is divisible by ``every``.
+
+    ``vectors`` has vec_id and embedding. Nearness is the inner product in double precision; ties go to the smaller vec_id. Rows whose
+    vec_id is null, whose vector is null or zero or holds null or non-finite components, or has another length than most vectors, take
+    no part. A row doesn't find itself; rows that share its vec_id are rows of their own, each of which may ask and be found. Of rows
+    with equal vectors a query that finds one finds all that its ``k`` places have room for. An empty table gives no rows. All rows
+    are indexed; from samples come only the scale of the projections (``SCALE_ROWS`` points) and the choice of windows (``measured`` queries).
+    """
+    spark, kind = vectors.sparkSession, vectors.schema["embedding"].dataType.elementType.simpleString()
+    points, queries = _points(vectors, k, every)
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    length = points.groupBy(F.size("embedding").alias("size")).agg(F.sum(F.size("members")).alias("rows"), F.count("*").alias("n")).orderBy(F.desc("rows"), "size").first()
     if length is None:
         return empty
     width, total = length["size"], length["n"]
-    valid = valid.filter(F.size(e) == width)
+    points = points.filter(F.size("embedding") == width)
     rng = np.random.default_rng(seed)
     axes, shifts = rng.normal(size=(curves, width, dims)), rng.uniform(0, 1, size=(curves, 1, dims))
-    bits = min(BITS, 30 // dims)
-    sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SCALE_ROWS).toArrow()
-    unit = _matrix(sample.column("embedding").combine_chunks())
+    bits = min(BITS, 60 // dims)
+    unit = _matrix(points.orderBy(F.xxhash64("point"), "point").limit(SCALE_ROWS).select("embedding").toArrow().column(0).combine_chunks())
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     spread = [unit @ a for a in axes]
     middle, scale = [s.mean(0) for s in spread], [np.maximum(s.std(0), 1e-12) for s in spread]
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column("embedding"))
+            x = _matrix(batch.column("embedding")).reshape(-1, width)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            ids = batch.column("vec_id").to_numpy()
-            low = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64)
+            keys = np.empty((len(x), curves), np.int64)
             for c in range(curves):
                 y = ((x @ axes[c] - middle[c]) / scale[c] + 4 + shifts[c]) / 9 * (1 << bits)
-                key = hilbert(np.clip(y, 0, (1 << bits) - 1).astype(np.int64), bits) << 32 | low
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), c, np.int32)), pa.array(key), batch.column("vec_id"), batch.column("embedding")], ["curve", "key", "vec_id", "embedding"])
+                keys[:, c] = hilbert(np.clip(y, 0, (1 << bits) - 1).astype(np.int64), bits)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * curves), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("point", "members", "asking", "embedding")), listed], ["point", "members", "asking", "embedding", "keys"])
+
+    keyed = points.select("point", "members", "asking", "embedding")
+    keyed = save(keyed.mapInArrow(order, f"point long, members array<struct<vec_id:bigint,row:bigint>>, asking boolean, embedding array<{kind}>, keys array<long>"), "points")
 
-    indexed = save(valid.mapInArrow(order, f"curve int, key long, vec_id long, embedding array<{kind}>"), "curves")
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, seen = TaskContext.get().partitionId(), np.zeros(curves, np.int64)
+        for batch in batches:
+            curve = batch.column("curve").to_numpy()
+            n = np.bincount(curve, minlength=curves)
+            # sorted by curve: places go on from where the last batch ended
+            at = np.arange(len(curve)) - np.concatenate([[0], np.cumsum(n)])[curve] + seen[curve]
+            seen += n
+            yield pa.RecordBatch.from_arrays([batch.column("curve"), batch.column("point"), pa.array(np.full(len(at), part, np.int32)), pa.array(at)], ["curve", "point", "part", "at"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    places = keyed.select("point", F.posexplode("keys").alias("curve", "key")).repartitionByRange(tasks, "curve", "key", "point").sortWithinPartitions("curve", "key", "point")
+    places = save(places.mapInArrow(number, "curve int, point long, part int, at long"), "places")
+    # a number for each task and ordering
+    sizes = {(r["curve"], r["part"]): r["n"] for r in places.groupBy("curve", "part").agg(F.count("*").alias("n")).collect()}
+    before: dict[tuple[int, int], int] = {}
+    done = [0] * curves
+    for c, part in sorted(sizes):
+        before[c, part] = done[c]
+        done[c] += sizes[c, part]
     blocks = max(1, -(-total // block))
-    cuts = [i / blocks for i in range(1, blocks)]
-    edges = [np.zeros(0, np.int64)] * curves
-    if cuts:
-        for r in indexed.groupBy("curve").agg(F.percentile_approx("key", cuts, 20 * blocks).alias("cuts")).collect():
-            edges[r["curve"]] = np.array(r["cuts"], np.int64)
-    near = min(blocks - 1, int(np.ceil(share * blocks)))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["curve", "block", "asks", "vec_id", "embedding"]
+    used, near = (1, blocks - 1) if blocks <= 3 else _measure(keyed, places, before, total, k, block, curves, target, measured)
+    near = min(near, blocks - 1)
+
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, key, ids = (batch.column(n).to_numpy() for n in ("curve", "key", "vec_id"))
-            own = np.zeros(len(key), np.int64)
-            for x in range(curves):
-                own[c == x] = np.searchsorted(edges[x], key[c == x], "right")
-            yield pa.RecordBatch.from_arrays([batch.column("curve"), pa.array(own.astype(np.int32)), pa.array(np.zeros(len(own), np.int32)), batch.column("vec_id"), batch.column("embedding")], names)
-            q = np.flatnonzero(ids % every == 0)
-            first = np.clip(own[q] - near, 0, max(0, blocks - 1 - 2 * near))
-            size = min(blocks, 2 * near + 1)
-            row = pa.array(np.repeat(q, size))
-            to = (np.repeat(first, size) + np.tile(np.arange(size), len(q))).astype(np.int32)
-            asked = batch.take(row)
-            yield pa.RecordBatch.from_arrays([asked.column("curve"), pa.array(to), pa.array(np.ones(len(to), np.int32)), asked.column("vec_id"), asked.column("embedding")], names)
+            base = np.array([before[x] for x in zip(batch.column("curve").to_pylist(), batch.column("part").to_pylist())], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("point"), batch.column("curve"), pa.array((base + batch.column("at").to_numpy()) // block)], ["point", "curve", "block"])
+
+    own = places.filter(F.col("curve") < used).mapInArrow(blocked, "point long, curve int, block long").join(keyed.select("point", "asking", "embedding"), "point")
+    window = F.sequence(F.greatest(F.lit(0), F.least(F.col("block") - near, F.lit(blocks - 1 - 2 * near))), F.least(F.lit(blocks - 1), F.greatest(F.col("block") + near, F.lit(2 * near))))
+    dealt = own.select("curve", "block", F.lit(0).alias("asks"), "point", "embedding").unionByName(
+        own.filter("asking").select("curve", F.explode(window).alias("block"), F.lit(1).alias("asks"), "point", "embedding")
+    )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
@@ -153,30 +191,62 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
                 part = batch.slice(x, y - x)
                 if at != (c[x], b[x]):
                     held, at = [], (c[x], b[x])
-                ids, v = part.column("vec_id").to_numpy(), _matrix(part.column("embedding"))
+                ids, v = part.column("point").to_numpy(), _matrix(part.column("embedding"))
                 if not asks[x]:
                     held.append((ids, v))
                 elif held:
                     if len(held) > 1:
                         held = [tuple(np.concatenate(h) for h in zip(*held))]
-                    found = list(_best(v, ids, held[0][1], held[0][0], k))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("vec_id"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))],
-                        ["query_id", "ids", "scores"],
-                    )
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["query_id"]):
-            ids = group.column("ids").combine_chunks().flatten().to_numpy()
-            scores = group.column("scores").combine_chunks().flatten().to_numpy()
-            _, one = np.unique(ids, return_index=True)
-            ids, scores = ids[one], scores[one]
-            o = np.lexsort((ids, -scores))[:k]
-            yield pa.RecordBatch.from_arrays(
-                [group.column("query_id").combine_chunks().slice(0, 1).take(pa.array(np.zeros(len(o), np.int64))), pa.array(np.arange(1, len(o) + 1, dtype=np.int32)), pa.array(ids[o]), pa.array(scores[o])],
-                ["query_id", "rank", "vec_id", "score"],
-            )
-
-    dealt = indexed.mapInArrow(deal, f"curve int, block int, asks int, vec_id long, embedding array<{kind}>")
-    found = dealt.repartition("curve", "block").sortWithinPartitions("curve", "block", "asks").mapInArrow(compare, "query_id long, ids array<long>, scores array<double>")
-    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, empty.schema)
+                    yield _found(part.column("point"), list(_best(v, held[0][1], held[0][0], k + 1)))
+
+    schema = "asks long, point long, score double"
+    met = dealt.repartition("curve", "block").sortWithinPartitions("curve", "block", "asks").mapInArrow(compare, schema)
+    # the own point and k others hold the k nearest rows
+    best = F.row_number().over(Window.partitionBy("asks").orderBy(F.desc("score"), "point"))
+    top = met.groupBy("asks", "point").agg(F.max("score").alias("score")).withColumn("n", best)
+    edge = F.max(F.when(F.col("n") == k + 1, F.col("score"))).over(Window.partitionBy("asks"))
+    # points that tie with the last one stay: their members may have smaller ids
+    top = top.withColumn("edge", edge).filter((F.col("n") <= k + 1) | (F.col("score") == F.col("edge"))).select("asks", "point", "score")
+    each = top.join(keyed.select("point", "members"), "point").select("asks", "score", F.explode("members").alias("m"))
+    place = F.row_number().over(Window.partitionBy("asks").orderBy(F.desc("score"), "m"))
+    lists = each.withColumn("n", place).filter(F.col("n") <= k + 1).groupBy("asks").agg(F.sort_array(F.collect_list(F.struct("n", "m", "score"))).alias("found"))
+    mine = queries.join(lists, queries["point"] == lists["asks"]).select("vec_id", "row", "found")
+    others = F.slice(F.filter("found", lambda x: x["m"]["row"] != F.col("row")), 1, k)
+    listed = mine.select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("at", "x"))
+    return listed.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.m.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+
+
+def _measure(keyed: DataFrame, places: DataFrame, before: dict, total: int, k: int, block: int, curves: int, target: float, measured: int) -> tuple[int, int]:
+    """Orderings and blocks on either side with the least work that find ``target`` of the neighbours of ``measured`` asking points."""
+    sample = keyed.filter("asking").orderBy(F.xxhash64(F.lit(9), "point"), "point").limit(measured).select("point", "embedding").toArrow()
+    asking = sample.column("point").combine_chunks()
+    if not len(asking):
+        return 1, 0
+    q = _matrix(sample.column("embedding").combine_chunks())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                yield _found(asking, list(_best(q, _matrix(part.column("embedding")), part.column("point").to_numpy(), k + 1)))
+
+    met = keyed.select("point", "embedding").mapInArrow(compare, "asks long, point long, score double")
+    best = F.row_number().over(Window.partitionBy("asks").orderBy(F.desc("score"), "point"))
+    true = met.withColumn("n", best).filter(F.col("n") <= k + 1).select("asks", "point")
+    # at most k + 1 points for each of the measured queries, and they themselves
+    wanted = save(true, "neighbours")
+    ids = wanted.select("point").union(wanted.select("asks")).distinct()
+    at = {(r["point"], r["curve"]): before[r["curve"], r["part"]] + r["at"] for r in places.join(F.broadcast(ids), "point").collect()}
+    pairs = [(r["asks"], r["point"]) for r in wanted.collect() if r["asks"] != r["point"]]
+    if not pairs:
+        return 1, 0
+    far = np.array([[abs(at[a, c] - at[p, c]) for c in range(curves)] for a, p in pairs])
+    n_asking = keyed.filter("asking").count()
+    choices = []
+    for c in range(1, curves + 1):
+        least = np.sort(far[:, :c].min(1))
+        rows = least[min(len(least) - 1, int(np.ceil(target * len(least))) - 1)]
+        near = int(-(-rows // block))
+        choices.append((c * (min(total, (2 * near + 1) * block) * n_asking + MOVE * total), c, near))
+    drop(wanted)
+    return min(choices)[1:]

@@ -514,12 +514,57 @@ def test_nearest(spark):
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert got == exact  # one block: everything is compared
     found = {}
-    for r in nearest(df, block=40, share=0.25).collect():
+    for r in nearest(df, block=20, dims=3).collect():
         found.setdefault(r["query_id"], set()).add(r["vec_id"])
     assert np.mean([len(found[q] & set(exact[q])) / 20 for q in exact]) >= 0.9
     assert nearest(df.limit(0)).count() == 0 and nearest(df.filter("vec_id in (0, 3)")).collect()[0]["vec_id"] == 3
 
 
+def test_nearest_keeps_rows_of_one_id_apart(spark):
+    from codestrata.llm.ann import nearest
+
+    rows = [(20, [1.0, 2.0]), (20, [2.0, 1.0]), (5, [9.0, 9.0]), (5, [8.0, 8.0]), (6, [9.0, 9.0]), (40, [9.0, 9.0]), (7, [0.01, 0.06])]
+    got = {}
+    for r in nearest(docs(spark, rows, "vec_id long, embedding array<float>"), k=4).orderBy("query_id", "rank").collect():
+        got.setdefault((r["query_id"], r["rank"]), []).append((r["vec_id"], round(r["score"], 4)))
+    assert [got[20, n] for n in (1, 2, 3, 4)] == [[(5, 27.0)] * 2, [(6, 27.0)] * 2, [(40, 27.0)] * 2, [(5, 24.0)] * 2]
+    assert [got[40, n] for n in (1, 2, 3, 4)] == [[(5, 162.0)], [(6, 162.0)], [(5, 144.0)], [(20, 27.0)]]
+
+
+def test_recall_with_production_parameters(spark):
+    """20,000 vectors of random directions and as many in clusters, of which a third of all are one vector."""
+    import pyarrow as pa
+
+    from codestrata.llm import ann
+
+    rng = np.random.default_rng(20)
+    random_ones = rng.normal(size=(20_000, 64))
+    middles = rng.normal(size=(200, 64))
+    clusters = middles[rng.integers(0, 200, 20_000)] + 0.1 * rng.normal(size=(20_000, 64))
+    clusters[rng.integers(0, 20_000, 7_000)] = middles[0]
+    made, choose = [], ann._measure
+    ann._measure = lambda *a: made.append(choose(*a)) or made[-1]
+    try:
+        for x in (random_ones, clusters):
+            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+            got = {}
+            df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.ListArray.from_arrays(np.arange(0, x.size + 1, 64, dtype=np.int32), x.ravel())}))
+            for r in ann.nearest(df).collect():
+                got.setdefault(r["query_id"], set()).add(r["vec_id"])
+            x = x.astype(np.float64)
+            recall = []
+            for q in range(0, 20_000, 400):
+                s = (x * x[q]).sum(1)
+                s[q] = -9
+                recall.append(len(got[q] & set(np.lexsort((np.arange(len(s)), -s))[:20].tolist())) / 20)
+            assert np.mean(recall) >= 0.9 and len(got) == 1000
+    finally:
+        ann._measure = choose
+
+    used, near = made[1]
+    assert used * (2 * near + 1) * ann.BLOCK < 5_000  # structure: small windows
+
+
 # ---- toxicity
 
 
