@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import drop, save
+from codestrata.llm.common import drop, runs, save
 
 BITS = 8
 
@@ -52,8 +52,8 @@ def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-#: Orderings at most; directions of each; points of a block.
-CURVES, DIMS, BLOCK = 8, 6, 512
+#: Orderings, at least and at most; directions of each; points of a block, at least and at most.
+FEWEST, CURVES, DIMS, BLOCK, LARGEST_BLOCK = 3, 12, 8, 512, 16_384
 #: Points from which the scale of the projections is taken; queries that are measured; the share of their neighbours to be found.
 SCALE_ROWS, MEASURED, TARGET = 4096, 64, 0.94
 #: Comparisons that take as long as moving one point to its block.
@@ -65,9 +65,9 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1).astype(np.float64)
 
 
-def _best(q: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The k nearest points of x to each row of q, and their scores. The fast product only preselects: what counts is each pair's own
-    sum, so that equal vectors have equal scores wherever they stand."""
+def _best(q: np.ndarray, x: np.ndarray, xid: np.ndarray, first: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k nearest points of x to each row of q, their first vec_id, by which ties go, and their scores. The fast product only
+    preselects: what counts is each pair's own sum, so that equal vectors have equal scores wherever they stand."""
     for a in range(0, len(q), 256):
         for r, row in enumerate(q[a : a + 256] @ x.T):
             c = np.flatnonzero(np.isfinite(row))
@@ -75,19 +75,39 @@ def _best(q: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> Iterator[tup
                 least = np.partition(row[c], len(c) - k)[len(c) - k]
                 c = c[row[c] >= least - 1e-9 * max(1.0, abs(least))]
             s = (x[c] * q[a + r]).sum(1)
-            o = np.lexsort((xid[c], -s))[:k]
-            yield xid[c][o], s[o]
+            o = np.lexsort((xid[c], first[c], -s))[:k]
+            yield xid[c][o], first[c][o], s[o]
 
 
-def _found(asks: pa.Array, best: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    size = [len(i) for i, _ in best]
-    none = [np.zeros(0, np.int64)], [np.zeros(0)]
-    ids, scores = (np.concatenate([*x, *(b[n] for b in best)]) for n, x in enumerate(none))
-    return pa.RecordBatch.from_arrays([asks.take(pa.array(np.repeat(np.arange(len(size)), size), pa.int64())), pa.array(ids), pa.array(scores)], ["asks", "point", "score"])
+def _found(asks: pa.Array, best: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """A row for each asking point, with lists of what ``_best`` gives."""
+    at = pa.array(np.cumsum([0, *[len(b[0]) for b in best]]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, t), *(b[n] for b in best)]))) for n, t in enumerate((np.int64, np.int64, np.float64))]
+    return pa.RecordBatch.from_arrays([asks, *lists], ["asks", "points", "firsts", "scores"])
+
+
+_FOUND = "asks long, points array<long>, firsts array<long>, scores array<double>"
+
+
+def _merged(k: int):
+    """(asks, point, score): the k best of all that was found for each asking point; the rows come sorted by asks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["asks"]):
+            point, first, score = (group.column(x).combine_chunks().flatten().to_numpy() for x in ("points", "firsts", "scores"))
+            _, one = np.unique(point, return_index=True)
+            o = one[np.lexsort((point[one], first[one], -score[one]))[:k]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), group.column("asks")[0].as_py())), pa.array(point[o]), pa.array(score[o])], ["asks", "point", "score"])
+
+    return run
+
+
+def _merge(found: DataFrame, k: int) -> DataFrame:
+    return found.repartition("asks").sortWithinPartitions("asks").mapInArrow(_merged(k), "asks long, point long, score double")
 
 
 def _points(vectors: DataFrame, k: int, every: int) -> tuple[DataFrame, DataFrame]:
-    """Points (point, embedding, members, asking) and queries (vec_id, row, point): the rows of equal vectors are one point, named by the
+    """Points (point, embedding, members, first, asking) and queries (vec_id, row, point): the rows of equal vectors are one point, named by the
     row that comes first by (vec_id, row), with as many members as one query can find."""
     e = F.col("embedding")
     off = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -100,7 +120,7 @@ def _points(vectors: DataFrame, k: int, every: int) -> tuple[DataFrame, DataFram
     members = few.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("vec_id", "row"))).alias("members")).withColumn("point", F.col("members")[0]["row"])
     asked = rows.filter(F.col("vec_id") % every == 0).select("a", "b", "vec_id", "row")
     members = save(members.join(asked.select("a", "b", F.lit(True).alias("asking")).distinct(), ["a", "b"], "left").withColumn("asking", F.coalesce("asking", F.lit(False))), "members")
-    points = members.select("point", "members", "asking").join(rows.select(F.col("row").alias("point"), "embedding"), "point")
+    points = members.select("point", "members", "asking", F.col("members")[0]["vec_id"].alias("first")).join(rows.select(F.col("row").alias("point"), "embedding"), "point")
     return points, asked.join(members.filter("asking").select("a", "b", "point"), ["a", "b"]).select("vec_id", "row", "point")
 
 
@@ -140,10 +160,11 @@ def nearest(
                 y = ((x @ axes[c] - middle[c]) / scale[c] + 4 + shifts[c]) / 9 * (1 << bits)
                 keys[:, c] = hilbert(np.clip(y, 0, (1 << bits) - 1).astype(np.int64), bits)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * curves), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("point", "members", "asking", "embedding")), listed], ["point", "members", "asking", "embedding", "keys"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in named), listed], [*named, "keys"])
 
-    keyed = points.select("point", "members", "asking", "embedding")
-    keyed = save(keyed.mapInArrow(order, f"point long, members array<struct<vec_id:bigint,row:bigint>>, asking boolean, embedding array<{kind}>, keys array<long>"), "points")
+    named = ["point", "members", "first", "asking", "embedding"]
+    schema = f"point long, members array<struct<vec_id:bigint,row:bigint>>, first long, asking boolean, embedding array<{kind}>, keys array<long>"
+    keyed = save(points.select(*named).mapInArrow(order, schema), "points")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -167,19 +188,21 @@ def nearest(
     for c, part in sorted(sizes):
         before[c, part] = done[c]
         done[c] += sizes[c, part]
+    used, window = (FEWEST, total) if total <= 3 * block else _measure(keyed, places, before, total, k, block, curves, target, measured)
+    # a wide window is cut into larger blocks, so that a query meets a few
+    block = min(max(block, -(-window // 2)), LARGEST_BLOCK)
     blocks = max(1, -(-total // block))
-    used, near = (1, blocks - 1) if blocks <= 3 else _measure(keyed, places, before, total, k, block, curves, target, measured)
-    near = min(near, blocks - 1)
+    near = min(blocks - 1, -(-window // block))
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base = np.array([before[x] for x in zip(batch.column("curve").to_pylist(), batch.column("part").to_pylist())], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("point"), batch.column("curve"), pa.array((base + batch.column("at").to_numpy()) // block)], ["point", "curve", "block"])
 
-    own = places.filter(F.col("curve") < used).mapInArrow(blocked, "point long, curve int, block long").join(keyed.select("point", "asking", "embedding"), "point")
-    window = F.sequence(F.greatest(F.lit(0), F.least(F.col("block") - near, F.lit(blocks - 1 - 2 * near))), F.least(F.lit(blocks - 1), F.greatest(F.col("block") + near, F.lit(2 * near))))
-    dealt = own.select("curve", "block", F.lit(0).alias("asks"), "point", "embedding").unionByName(
-        own.filter("asking").select("curve", F.explode(window).alias("block"), F.lit(1).alias("asks"), "point", "embedding")
+    own = places.filter(F.col("curve") < used).mapInArrow(blocked, "point long, curve int, block long").join(keyed.select("point", "first", "asking", "embedding"), "point")
+    around = F.sequence(F.greatest(F.lit(0), F.least(F.col("block") - near, F.lit(blocks - 1 - 2 * near))), F.least(F.lit(blocks - 1), F.greatest(F.col("block") + near, F.lit(2 * near))))
+    dealt = own.select("curve", "block", F.lit(0).alias("asks"), "point", "first", "embedding").unionByName(
+        own.filter("asking").select("curve", F.explode(around).alias("block"), F.lit(1).alias("asks"), "point", "first", "embedding")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,22 +214,17 @@ def nearest(
                 part = batch.slice(x, y - x)
                 if at != (c[x], b[x]):
                     held, at = [], (c[x], b[x])
-                ids, v = part.column("point").to_numpy(), _matrix(part.column("embedding"))
+                v = _matrix(part.column("embedding"))
                 if not asks[x]:
-                    held.append((ids, v))
+                    held.append((v, part.column("point").to_numpy(), part.column("first").to_numpy()))
                 elif held:
                     if len(held) > 1:
                         held = [tuple(np.concatenate(h) for h in zip(*held))]
-                    yield _found(part.column("point"), list(_best(v, held[0][1], held[0][0], k + 1)))
-
-    schema = "asks long, point long, score double"
-    met = dealt.repartition("curve", "block").sortWithinPartitions("curve", "block", "asks").mapInArrow(compare, schema)
-    # the own point and k others hold the k nearest rows
-    best = F.row_number().over(Window.partitionBy("asks").orderBy(F.desc("score"), "point"))
-    top = met.groupBy("asks", "point").agg(F.max("score").alias("score")).withColumn("n", best)
-    edge = F.max(F.when(F.col("n") == k + 1, F.col("score"))).over(Window.partitionBy("asks"))
-    # points that tie with the last one stay: their members may have smaller ids
-    top = top.withColumn("edge", edge).filter((F.col("n") <= k + 1) | (F.col("score") == F.col("edge"))).select("asks", "point", "score")
+                    yield _found(part.column("point"), list(_best(v, *held[0], k + 1)))
+
+    met = dealt.repartition("curve", "block").sortWithinPartitions("curve", "block", "asks").mapInArrow(compare, _FOUND)
+    # a row among the k + 1 nearest belongs to a point among the k + 1 nearest, the own one included
+    top = _merge(met, k + 1)
     each = top.join(keyed.select("point", "members"), "point").select("asks", "score", F.explode("members").alias("m"))
     place = F.row_number().over(Window.partitionBy("asks").orderBy(F.desc("score"), "m"))
     lists = each.withColumn("n", place).filter(F.col("n") <= k + 1).groupBy("asks").agg(F.sort_array(F.collect_list(F.struct("n", "m", "score"))).alias("found"))
@@ -217,36 +235,32 @@ def nearest(
 
 
 def _measure(keyed: DataFrame, places: DataFrame, before: dict, total: int, k: int, block: int, curves: int, target: float, measured: int) -> tuple[int, int]:
-    """Orderings and blocks on either side with the least work that find ``target`` of the neighbours of ``measured`` asking points."""
+    """Orderings, and points on either side of a query, that with the least work find ``target`` of the neighbours of ``measured`` asking points."""
     sample = keyed.filter("asking").orderBy(F.xxhash64(F.lit(9), "point"), "point").limit(measured).select("point", "embedding").toArrow()
     asking = sample.column("point").combine_chunks()
     if not len(asking):
-        return 1, 0
+        return FEWEST, 0
     q = _matrix(sample.column("embedding").combine_chunks())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
-                yield _found(asking, list(_best(q, _matrix(part.column("embedding")), part.column("point").to_numpy(), k + 1)))
+                yield _found(asking, list(_best(q, _matrix(part.column("embedding")), part.column("point").to_numpy(), part.column("first").to_numpy(), k + 1)))
 
-    met = keyed.select("point", "embedding").mapInArrow(compare, "asks long, point long, score double")
-    best = F.row_number().over(Window.partitionBy("asks").orderBy(F.desc("score"), "point"))
-    true = met.withColumn("n", best).filter(F.col("n") <= k + 1).select("asks", "point")
     # at most k + 1 points for each of the measured queries, and they themselves
-    wanted = save(true, "neighbours")
-    ids = wanted.select("point").union(wanted.select("asks")).distinct()
+    true = save(_merge(keyed.select("point", "first", "embedding").mapInArrow(compare, _FOUND), k + 1), "neighbours")
+    ids = true.select("point").union(true.select("asks")).distinct()
     at = {(r["point"], r["curve"]): before[r["curve"], r["part"]] + r["at"] for r in places.join(F.broadcast(ids), "point").collect()}
-    pairs = [(r["asks"], r["point"]) for r in wanted.collect() if r["asks"] != r["point"]]
+    pairs = [(r["asks"], r["point"]) for r in true.collect() if r["asks"] != r["point"]]
+    drop(true)
     if not pairs:
-        return 1, 0
+        return FEWEST, 0
     far = np.array([[abs(at[a, c] - at[p, c]) for c in range(curves)] for a, p in pairs])
     n_asking = keyed.filter("asking").count()
     choices = []
-    for c in range(1, curves + 1):
+    for c in range(min(FEWEST, curves), curves + 1):
         least = np.sort(far[:, :c].min(1))
-        rows = least[min(len(least) - 1, int(np.ceil(target * len(least))) - 1)]
-        near = int(-(-rows // block))
-        choices.append((c * (min(total, (2 * near + 1) * block) * n_asking + MOVE * total), c, near))
-    drop(wanted)
+        window = int(least[min(len(least) - 1, int(np.ceil(target * len(least))) - 1)])
+        choices.append((c * (min(total, max(block, 2 * window)) * n_asking + MOVE * total), c, window))
     return min(choices)[1:]
