@@ -590,6 +590,51 @@ def test_toxicity(spark):
     assert score(src.limit(1), fit(src, docs(spark, [], "doc_id long, toxic int"))).first()["predicted"] == 0
 
 
+def test_noisy_or_against_plain_derivatives():
+    """The slope equals differences of a plainly written likelihood, and training lowers that."""
+    import math
+
+    from codestrata.llm.toxicity import START, slope, train
+
+    rng = random.Random(21)
+    for _ in range(20):
+        n = rng.randrange(1, 6)
+        sentences = [[[rng.randrange(n) for _ in range(rng.randrange(4))] for _ in range(rng.randrange(1, 4))] for _ in range(6)]
+        y = np.array([float(any(0 in s for s in d)) for d in sentences])
+        flat = [s for d in sentences for s in d]
+        word = np.array([w for s in flat for w in s], np.int64)
+        sentence = np.array([k for k, s in enumerate(flat) for _ in s], np.int64)
+        at = np.cumsum([0, *map(len, sentences)])
+
+        def loss(w, bias):
+            total = 0.0
+            for label, d in zip(y, sentences):  # noqa: B023
+                clean = math.prod(1 - 1 / (1 + math.exp(-(bias + sum(w[x] for x in s)))) for s in d)
+                total -= math.log(1 - clean if label else clean)
+            return total / len(y)  # noqa: B023
+
+        w, bias = np.array([rng.uniform(-1, 1) for _ in range(n)]), rng.uniform(-2, 0)
+        gw, gb = slope(w, bias, y, word, sentence, at)
+        for k in range(n):
+            step = np.eye(n)[k] * 1e-6
+            assert math.isclose(gw[k], (loss(w + step, bias) - loss(w - step, bias)) / 2e-6, abs_tol=1e-5)
+        assert math.isclose(gb, (loss(w, bias + 1e-6) - loss(w, bias - 1e-6)) / 2e-6, abs_tol=1e-5)
+        if 0 < y.mean() < 1:
+            assert loss(*train(y, word, sentence, at, n)) < loss(np.zeros(n), START) / 2
+
+
+def test_toxicity_of_repeated_rows(spark):
+    """A document in many rows counts once, ties and sample bounds hold, and the model doesn't depend on the order of rows."""
+    from codestrata.llm.toxicity import fit
+
+    rows = [(i, f"calm words here. {'nastyone' if i % 3 == 0 else 'pleasant'} talk") for i in range(90)]
+    labels = docs(spark, [(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    once, often = fit(docs(spark, rows), labels), fit(docs(spark, [*rows[::-1], *[rows[0]] * 50]).repartition(7), labels)
+    assert once[1] == often[1] and (once[0] == often[0]).all() and once[0].any()
+    small = fit(docs(spark, rows), labels, size=2_000)
+    assert small[0].any() and (small[0] != once[0]).any()
+
+
 # ---- html
 
 PAGE = '<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><a>Home</a></nav><div class="ad">Buy</div>{}<footer>f</footer></body></html>'
