@@ -646,6 +646,8 @@ def test_blocks():
     got = blocks(PAGE.format("<article><header><h1>A &amp; B</h1></header><p><b>one\n  two<br><p>three</b></p><div class='comments'>c</div><ul><li>x<li>y</ul><form>q</form></article><aside>s</aside><p>z"))
     assert got == [("A & B", INSIDE), ("one two", INSIDE), ("three", INSIDE), ("x", INSIDE), ("y", INSIDE), ("z", OUTSIDE)]
     assert blocks("a<!-- b --> <i>c</i>d &lt;p&gt; <p hidden>e</p><p id=cookie-notice>n</p>") == [("a cd <p>", OUTSIDE)]
+    named = "<article><p class='header'>a</p><p class='social-policy'>b</p><section id='legal'><h2 id='comments'>c</h2>d</section><div class='x ad'>no</div><div class='comment-list'>no</div></article>"
+    assert [x for x, _ in blocks(named)] == ["a", "b", "c", "d"] and [x for x, _ in blocks(named, hints=False)] == ["a", "b", "c", "d", "no", "no"]
     assert blocks("<p>cut <a href='x") == [("cut", OUTSIDE)] and blocks("<script>x") == []
 
 
@@ -689,12 +691,16 @@ def test_extract_copies_and_articles(spark, parts):
     art = lambda s: PAGE.format(f"<article><div>Notice</div><p>{s}</p><p>more {s}</p></article>")
     rows, want = [], []
     for host, page, copies in (("p.org", plain, 4), ("a.org", art, 4)):
-        for k in range(4):
+        for k in range(6):
             for c in range(copies if k != 2 else 1):  # repeated rows, schemes, queries, fragments, other paths
                 url = [f"http://{host}/{k}", f"https://{host}/{k}", f"http://{host}/{k}?utm_source=x#top", f"http://{host}/{k}/copy"][c]
                 for _ in range(2):
                     rows.append((len(rows), url, page(f"{host} {k}")))
                     want.append(f"{host} {k}\nmore {host} {k}")
+    # a line that all articles but one share is text
+    for k in range(9):
+        rows.append((len(rows), f"http://t.org/{k}", art(f"t {k}").replace("<div>Notice</div>", "<p>Refrain</p>" if k != 4 else "")))
+        want.append(("" if k == 4 else "Refrain\n") + f"t {k}\nmore t {k}")
     # a near copy of an article, and the only two pages of a host
     rows += [(900, "http://n.org/1", PAGE.format("<article><p>a</p><p>b</p><p>c</p></article>")), (901, "http://n.org/2", PAGE.format("<article><p>a</p><p>b</p><p>d</p></article>"))]
     want += ["a\nb\nc", "a\nb\nd"]
