@@ -14,8 +14,11 @@ Jaccard distance is a metric on sets, and the join is a metric-space join in thr
   few texts travel.
 * Level 3: what stays in a cell is compared exactly, unless already connected. A task returns a spanning forest, never all pairs.
 
-A cell of more than ``CELL_ROWS`` sketches, or ``cell_shingles`` shingles, is split into blocks by hash, every pair of blocks being one
-task, so a task's memory is bounded for any group.
+A cell with more members than a task holds is joined recursively around members picked as new pivots. In level 2 members near
+one of them are settled; the rest pick pivots among themselves while it is large, and what is left at last is held against
+the whole cell, block by block. In level 3 each block of the cell is joined with the pivots; what that connects to the
+cell's largest component is settled, and only the rest is held against all blocks. So a group of near copies of any number
+costs a constant number of rows each, and a task's memory is bounded for any group.
 
 Which shingles count as common only affects speed: any order gives the same links.
 """
@@ -26,19 +29,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.llm import kernel
-from codestrata.llm.common import runs, save, text_key
+from codestrata.llm.common import drop, runs, save, text_key
 from codestrata.llm.components import components
 
 #: Shingles at most that are ordered by count, the commonest; each costs 16 bytes on every executor.
 HOT = 1 << 17
 #: Shingles at most of a block of one cell.
 CELL_SHINGLES = 3_000_000
-#: Sketches at most of a block of one cell.
-CELL_ROWS = 10_000
+#: Sketches at most of a block of one cell; rows beyond which a region is passed on as it comes.
+CELL_ROWS, LONG = 10_000, 200_000
+#: Pivots that a large cell picks in a round; rounds at most.
+PIVOTS, PICKS = 16, 4
+#: Shingles whose counts a task keeps; beyond twice as many the rarest are counted down (Misra and Gries).
+COUNTED = 1 << 20
 _ONE, _TWO = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x6C8E9CF570932BD5)
 
 
@@ -47,8 +54,25 @@ def _signatures(u: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(kernel.mix(kernel.sums(kernel.mix(u ^ k), at)).view(np.int64) for k in (_ONE, _TWO))
 
 
+class _Counts:
+    """Counts of shingles in bounded memory: what is counted down was rarer than all that stays."""
+
+    def __init__(self) -> None:
+        self.token, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, tokens: np.ndarray) -> None:
+        token, count = np.unique(tokens, return_counts=True)
+        self.token, where = np.unique(np.concatenate([self.token, token]), return_inverse=True)
+        self.count = np.bincount(where, np.concatenate([self.count, count]), len(self.token)).astype(np.int64)
+        if len(self.token) > 2 * COUNTED:
+            self.count -= np.partition(self.count, -COUNTED - 1)[-COUNTED - 1]
+            self.token, self.count = self.token[self.count > 0], self.count[self.count > 0]
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text, and one (token, seen) for each shingle that several different sets of a batch hold."""
+    """A row for each text, and one (token, seen) for each shingle that several different sets of the task hold."""
+    names = ["doc_id", "th", "n", "key", "key2", "sketch", "token", "seen"]
+    counts = _Counts()
     for batch in batches:
         seen: set[int] = set()
         pool = []
@@ -63,15 +87,15 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key not in seen:
                     seen.add(key)
                     pool.append(u[at[k] : at[k + 1]])
-        n = batch.num_rows
-        none = pa.nulls(n, pa.int64())
+        if pool:
+            counts.add(np.concatenate(pool))
+        none = pa.nulls(batch.num_rows, pa.int64())
         out = [batch.column("doc_id"), batch.column("th"), *(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (size, one, two)), pa.array(sketch, pa.binary()), none, none]
-        token, count = np.unique(np.concatenate(pool), return_counts=True) if pool else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        token, count = token[count > 2].view(np.int64), count[count > 2]
-        names = ["doc_id", "th", "n", "key", "key2", "sketch", "token", "seen"]
         yield pa.RecordBatch.from_arrays(out, names)
-        void = pa.nulls(len(token), pa.int64())
-        yield pa.RecordBatch.from_arrays([void] * 5 + [pa.nulls(len(token), pa.binary()), pa.array(token, pa.int64()), pa.array(count, pa.int64())], names)
+    token, count = counts.token[counts.count > 2].view(np.int64), counts.count[counts.count > 2]
+    for a in range(0, len(token), 50_000):
+        own, void = token[a : a + 50_000], pa.nulls(len(token[a : a + 50_000]), pa.int64())
+        yield pa.RecordBatch.from_arrays([void] * 5 + [pa.nulls(len(own), pa.binary()), pa.array(own, pa.int64()), pa.array(count[a : a + 50_000], pa.int64())], names)
 
 
 def _windows(hot: np.ndarray, rank: np.ndarray):
@@ -113,12 +137,11 @@ def _windows(hot: np.ndarray, rank: np.ndarray):
     return run
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _regions(batches: Iterator[pa.RecordBatch], long: int) -> Iterator[pa.RecordBatch]:
     """(pivot, key) of the members of every region that may have partners; the rows come sorted by token and key.
 
-    A region longer than ``LONG`` is passed on as it comes, without the test that needs it whole.
+    A region of more than ``long`` rows is passed on as it comes, without the test that needs it whole.
     """
-    LONG = 200_000
     names = ("token", "key", "n", "pos")
     held = [np.zeros(0, np.int64)] * 4
     streamed: tuple[int, int] | None = None  # token and pivot of a long region under way
@@ -170,7 +193,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last:
             yield whole([c[:last] for c in cols])
         held = [c[last:] for c in cols]
-        if len(held[0]) > LONG:
+        if len(held[0]) > long:
             streamed = (int(held[0][0]), int(held[1][0]))
             yield made(np.full(len(held[1]), streamed[1]), held[1])
             held = [np.zeros(0, np.int64)] * 4
@@ -191,12 +214,32 @@ def _folded(sketch: bytes, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, words))
 
 
+def _close(sketch: bytes, n: int, other: bytes, m: int) -> bool:
+    """Whether sets of n and m members with these sketches may be partners."""
+    w = min(len(sketch), len(other)) // 8
+    d = int(np.bitwise_count(_folded(sketch, w) ^ _folded(other, w)).sum())
+    return 9 * d <= n + m and 9 * abs(n - m) <= n + m
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of large cells, with whether one of the cell's ``pivots`` (another one than itself) is near."""
+    for batch in batches:
+        near = [
+            any(p["key"] != key and _close(sketch, n, p["sketch"], p["n"]) for p in pivots)
+            for key, n, sketch, pivots in zip(*(batch.column(x).to_pylist() for x in ("key", "n", "sketch", "pivots")))
+        ]
+        kept = ["pivot", "key", "n", "sketch"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(near, pa.bool_())], [*kept, "near"])
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, key) of the members of each task whose sketch is near that of another one."""
+    """(pivot, key) of the members of each task whose sketch is near that of another one; only those that ask look."""
     pivots: list[int] = []
     keys: list[int] = []
     for group in runs(batches, ["pivot", "one", "two"]):
-        key, n = group.column("key").to_numpy(), group.column("n").to_numpy()
+        _, first = np.unique(group.column("key").to_numpy(), return_index=True)  # those that ask come first
+        group = group.take(pa.array(first))
+        key, n, asks = (group.column(x).to_numpy() for x in ("key", "n", "asks"))
         sketch = group.column("sketch").to_pylist()
         words = np.array([len(x) // 8 for x in sketch])
         keep = np.zeros(len(key), bool)
@@ -205,7 +248,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.concatenate([np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)])
             folded = np.stack([_folded(sketch[k], w) for k in both.tolist()])
             for x, k in enumerate(both.tolist()):
-                if keep[k]:
+                if keep[k] or not asks[k]:
                     continue  # one that is near another already; those left look at all themselves, in both widths
                 d = np.bitwise_count(folded ^ folded[x]).sum(1, dtype=np.int64)
                 total = n[both] + n[k]
@@ -231,19 +274,20 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * inter >= 80 * (len(a) + len(b) - inter)
 
 
-def _cell(keys: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that connect the linked members of one task: a spanning forest."""
+def _cell(keys: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect the linked members of one task: a spanning forest. Members of one component that is ``known`` are connected, and
+    of two members one must ask."""
     order = sorted(range(len(keys)), key=lambda k: (len(sets[k]), int(keys[k])))
-    keys, sets = keys[order], [sets[k] for k in order]
+    keys, sets, asks = keys[order], [sets[k] for k in order], asks[order]
     n = np.array([len(s) for s in sets])
-    root = np.arange(len(keys))
+    root = np.unique(known[order], return_inverse=True)[1]
     edges: list[tuple[int, int]] = []
     made = [_sketch(s) for s in sets] if len(keys) > 2 else []
     words = min(map(len, made), default=0) // 8
     sketch = np.stack([_folded(x, words) for x in made]) if made else None
     for k in range(1, len(keys)):
         low = int(np.searchsorted(5 * n[:k], 4 * n[k], "left"))
-        cand = np.flatnonzero(root[low:k] != root[k]) + low
+        cand = np.flatnonzero((root[low:k] != root[k]) & (asks[low:k] | asks[k])) + low
         if sketch is not None and len(cand):
             d = np.bitwise_count(sketch[cand] ^ sketch[k]).sum(1, dtype=np.int64)
             fits = 9 * d <= n[cand] + n[k]
@@ -259,12 +303,11 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a: list[int] = []
     b: list[int] = []
     for group in runs(batches, ["pivot", "one", "two"]):
-        keys = group.column("key").to_numpy()
-        _, first = np.unique(keys, return_index=True)
+        _, first = np.unique(group.column("key").to_numpy(), return_index=True)  # those that ask come first
         if len(first) > 1:
             group = group.take(pa.array(first))
             sets = [u[at[k] : at[k + 1]] for x, y, u, at in kernel.shingle_sets(group.column("text")) for k in range(y - x)]
-            for x, y in _cell(group.column("key").to_numpy(), sets):
+            for x, y in _cell(group.column("key").to_numpy(), sets, group.column("asks").to_numpy(), group.column("known").to_numpy()):
                 a.append(x)
                 b.append(y)
         if len(a) > 10_000:
@@ -273,15 +316,93 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _tasks(cells: DataFrame, blocks) -> DataFrame:
-    """The rows of ``cells`` (pivot, key, ..) with one and two, the blocks that a task holds: all pairs of the cell's blocks."""
-    count = cells.groupBy("pivot").agg(F.ceil(blocks).cast("int").alias("blocks"))
-    placed = cells.join(count, "pivot").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return placed.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("block", "other", "blocks")
-
-
-def jaccard_components(docs: DataFrame, hot: int = HOT, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+def _whole() -> dict[str, Column]:
+    """Columns of cells that are one task."""
+    return {"one": F.lit(0), "two": F.lit(0), "asks": F.lit(True)}
+
+
+def _large(cells: DataFrame, size, limit: int) -> DataFrame | None:
+    """(pivot, blocks) of the cells whose ``size`` is above ``limit``, None if there are none. Written, so that Spark knows how many there are
+    before it joins: a handful is broadcast, and no cell, however large, need meet in one task."""
+    large = save(cells.groupBy("pivot").agg(size.alias("size")).filter(F.col("size") > limit).select("pivot", F.ceil(F.col("size") / limit).cast("int").alias("blocks")), "large")
+    return None if large.isEmpty() else large
+
+
+def _against_all(cell: DataFrame, left: DataFrame, size, limit: int) -> DataFrame:
+    """Tasks in which the members ``left`` (pivot, key, ..), that ask, meet all members of their ``cell`` (pivot, key, .., blocks), block by block."""
+    parts = save(left.groupBy("pivot").agg(F.ceil(size / limit).cast("int").alias("parts")), "parts")
+    block = F.pmod(F.xxhash64("key"), "blocks").cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = cell.join(parts, "pivot").withColumn("one", block).withColumn("two", every("parts")).withColumn("asks", F.lit(False)).drop("blocks", "parts")
+    asking = left.join(parts, "pivot").withColumn("two", F.pmod(F.xxhash64("key", F.lit(1)), "parts").cast("int")).withColumn("one", every("blocks"))
+    return own.unionByName(asking.withColumn("asks", F.lit(True)).select(*own.columns))
+
+
+def _picked(cell: DataFrame, turn: int, columns: list[str]) -> DataFrame:
+    """(pivot, pivots): a few members of each large cell, spread by hash; some 64 of each are looked at."""
+    mark = F.xxhash64(F.lit(turn), "key")
+    share = cell.groupBy("pivot").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 64)).alias("of"))
+    some = cell.join(share, "pivot").filter(F.pmod(mark, F.col("of")) == 0)
+    some = some.withColumn("nth", F.row_number().over(Window.partitionBy("pivot").orderBy(mark, "key"))).filter(F.col("nth") <= PIVOTS)
+    return save(some.groupBy("pivot").agg(F.collect_list(F.struct(*columns)).alias("pivots")), "pivots")
+
+
+def _near_members(sized: DataFrame, cell_rows: int) -> DataFrame:
+    """(pivot, key) of all members of cells whose sketch is near that of another member; ``sized`` has pivot, key, n and sketch."""
+    large = _large(sized, F.count("*"), cell_rows)
+    if large is None:
+        tasks, settled = sized.withColumns(_whole()), None
+    else:
+        cell = save(sized.join(large, "pivot"), "cell")
+        left, settled = cell.drop("blocks"), []
+        for turn in range(PICKS):
+            met = left.join(_picked(left, turn, ["key", "n", "sketch"]), "pivot").mapInArrow(_settle, "pivot long, key long, n long, sketch binary, near boolean")
+            met = save(met, "met")
+            settled.append(met.filter("near").select("pivot", "key"))
+            left = met.filter("not near").drop("near")
+            if left.groupBy("pivot").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows).isEmpty():
+                break
+        rest = _against_all(cell, left.join(large, "pivot"), F.count("*"), cell_rows)
+        tasks = sized.join(large, "pivot", "left_anti").withColumns(_whole()).unionByName(rest)
+    order = ["pivot", "one", "two"]
+    found = tasks.repartition(*order).sortWithinPartitions(*order, "key", F.desc("asks")).mapInArrow(_near, "pivot long, key long")
+    for part in settled or []:
+        found = found.unionByName(part)
+    return save(found.distinct(), "near")
+
+
+def _edges(near: DataFrame, texts: DataFrame, classes: DataFrame, cell_shingles: int) -> DataFrame:
+    """(a, b) edges that connect all linked members of the cells ``near`` (pivot, key)."""
+
+    def compared(tasks: DataFrame) -> DataFrame:
+        packed = tasks.groupBy("key").agg(F.collect_list(F.struct("pivot", "one", "two", "asks", "known")).alias("tasks"))
+        wanted = packed.join(classes, "key").select("key", "tasks", F.col("doc_id").alias("d"), F.col("th").alias("t"))
+        found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("key", "text", F.inline("tasks"))
+        order = ["pivot", "one", "two"]
+        return save(found.repartition(*order).sortWithinPartitions(*order, "key", F.desc("asks")).mapInArrow(_cells, "a long, b long"), "edges")
+
+    counted = near.join(classes.select("key", "n"), "key")
+    large = _large(counted, F.sum("n"), cell_shingles)
+    if large is None:
+        return compared(near.withColumns(_whole() | {"known": F.col("key")}))
+    cell = save(counted.join(large, "pivot"), "cell")
+    # each block of a large cell by itself, and with a few members that all its blocks hold
+    block = {"one": F.pmod(F.xxhash64("key"), "blocks").cast("int"), "two": F.lit(0), "asks": F.lit(True), "known": F.col("key")}
+    blocks = cell.withColumns(block).drop("n", "blocks")
+    shared = _picked(cell, 0, ["key"]).join(large, "pivot").select("pivot", "blocks", F.explode("pivots.key").alias("key"))
+    shared = shared.withColumns({"one": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "two": F.lit(0), "asks": F.lit(True), "known": F.col("key")}).drop("blocks")
+    whole = near.join(large, "pivot", "left_anti").withColumns(_whole() | {"known": F.col("key")})
+    edges = compared(whole.unionByName(blocks).unionByName(shared))
+    known = save(components(edges), "known").withColumnRenamed("node", "key")
+    placed = save(cell.join(known, "key", "left").withColumn("known", F.coalesce("component", "key")).drop("component"), "placed")
+    main = placed.groupBy("pivot", "known").agg(F.sum("n").alias("w")).groupBy("pivot").agg(F.max_by("known", F.struct("w", "known")).alias("main"))
+    left = save(placed.join(main, "pivot").filter(F.col("known") != F.col("main")).drop("main"), "left")
+    if left.isEmpty():
+        return edges
+    return edges.unionByName(compared(_against_all(placed, left, F.sum("n"), cell_shingles).drop("n")))
+
+
+def jaccard_components(docs: DataFrame, hot: int = HOT, cell_shingles: int = CELL_SHINGLES, cell_rows: int = CELL_ROWS, long: int = LONG) -> DataFrame:
     """Per row of ``docs``: doc_id, th (hash of the text), n_shingles, key (the class of equal sets), group (the same for
     all rows of one component, null for a text without words) and component_id (the smallest doc_id of the component).
 
@@ -305,7 +426,7 @@ def jaccard_components(docs: DataFrame, hot: int = HOT, cell_shingles: int = CEL
     members = (
         texts.mapInArrow(_windows(tokens[o], rank), "token long, key long, n int, pos int")
         .repartition("token").sortWithinPartitions("token", "key")
-        .mapInArrow(_regions, "pivot long, key long")
+        .mapInArrow(lambda batches: _regions(batches, long), "pivot long, key long")
     )
     members = save(members.groupBy("pivot", "key").agg(F.lit(1).alias("one")).select("pivot", "key"), "members")
     classes = save(
@@ -314,19 +435,13 @@ def jaccard_components(docs: DataFrame, hot: int = HOT, cell_shingles: int = CEL
         "classes",
     )
     sized = members.join(classes.select("key", "n", "sketch"), "key")
-    near = (
-        _tasks(sized, F.count("*") / CELL_ROWS).repartition("pivot", "one", "two").sortWithinPartitions("pivot", "one", "two", "key")
-        .mapInArrow(_near, "pivot long, key long").distinct()
-    )
-    near = save(near, "near").join(classes.select("key", "n"), "key")
-    tasks = _tasks(near, F.sum("n") / cell_shingles).groupBy("key").agg(F.collect_list(F.struct("pivot", "one", "two")).alias("tasks"))
-    wanted = tasks.join(classes, "key").select("key", "tasks", F.col("doc_id").alias("d"), F.col("th").alias("t"))
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("key", "text", F.inline("tasks"))
-    edges = found.repartition("pivot", "one", "two").sortWithinPartitions("pivot", "one", "two", "key").mapInArrow(_cells, "a long, b long")
+    near = _near_members(sized, cell_rows)
+    edges = _edges(near, texts, classes, cell_shingles)
     joined = components(edges).withColumnRenamed("node", "key")
     grouped = classes.select("key", "doc_id").join(joined, "key", "left").withColumn("group", F.coalesce("component", "key"))
     least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     labels = save(grouped.select("key", "group").join(least, "group"), "labels")
+    drop(members, near, classes)
     return rows.join(labels, (rows["key"] == labels["key"]) & (rows["n"] > 0), "left").select(
         rows["doc_id"], rows["th"], rows["n"].alias("n_shingles"), rows["key"], labels["group"],
         F.when(labels["group"].isNull(), rows["doc_id"]).otherwise(labels["component_id"]).alias("component_id"),

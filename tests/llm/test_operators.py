@@ -741,14 +741,14 @@ def near_rows():
     return [*rows, (2000, None), (2001, ""), (2002, " \n"), (2003, "One"), (2004, "one"), (None, "ONE"), (None, "alone"), (2003, "One")]
 
 
-@pytest.mark.parametrize("hot, cell", [(1 << 17, 3_000_000), (0, 300)])
-def test_jaccard(spark, hot, cell):
+@pytest.mark.parametrize("hot, cell, rows_of_cell, long", [(1 << 17, 3_000_000, 10_000, 200_000), (0, 300, 10_000, 200_000), (1 << 17, 300, 5, 200_000), (0, 2_000, 4, 6)])
+def test_jaccard(spark, hot, cell, rows_of_cell, long):
     from codestrata.llm.jaccard_join import jaccard_components
 
     rows = near_rows()
     random.Random(12).shuffle(rows)
     src = docs(spark, rows).withColumn("key", F.lit("clash"))
-    got = jaccard_components(src, hot=hot, cell_shingles=cell).collect()
+    got = jaccard_components(src, hot=hot, cell_shingles=cell, cell_rows=rows_of_cell, long=long).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got) == jaccard_brute(rows)
 
 
@@ -764,7 +764,7 @@ def test_near_across_widths(spark):
         cut = size // 6
         b = base[:size]
         sets = [b[cut:], b, base[: size + cut]]
-        rows = {"pivot": [1] * 3, "one": [0] * 3, "two": [0] * 3, "key": [1, 2, 3], "n": [len(s) for s in sets], "sketch": [_sketch(np.sort(s)) for s in sets]}
+        rows = {"pivot": [1] * 3, "one": [0] * 3, "two": [0] * 3, "asks": [True] * 3, "key": [1, 2, 3], "n": [len(s) for s in sets], "sketch": [_sketch(np.sort(s)) for s in sets]}
         assert len({len(x) for x in rows["sketch"]}) == 2
         assert sorted(k for out in _near([pa.RecordBatch.from_pydict(rows)]) for k in out.column("key").to_pylist()) == [1, 2, 3]
     rows = []
@@ -780,6 +780,38 @@ def test_near_across_widths(spark):
     assert sorted((False, r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == jaccard_brute(rows)
 
 
+def test_large_cells_are_joined_around_pivots(spark):
+    """A chain of near copies, of which the ends aren't near, and unrelated texts around one long passage, in cells of many blocks."""
+    from codestrata.llm.jaccard_join import jaccard_components
+
+    rng = random.Random(22)
+    rows = []
+    for _ in range(2):
+        base = words(rng, 90, 10**6)
+        for _ in range(60):
+            base = edited(rng, base, 0.01)
+            rows.append((len(rows), " ".join(base)))
+    passage = words(rng, 40, 10**6)
+    for _ in range(60):
+        rows.append((len(rows), " ".join([*words(rng, 20, 10**6), *passage])))
+    rng.shuffle(rows)
+    for options in ({}, {"cell_rows": 7, "cell_shingles": 500}, {"cell_rows": 7, "cell_shingles": 500, "hot": 0, "long": 20}):
+        got = jaccard_components(docs(spark, rows), **options).collect()
+        assert sorted((False, r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == jaccard_brute(rows), options
+
+
+def test_counts_in_bounded_memory():
+    from codestrata.llm import jaccard_join as J
+
+    old, J.COUNTED = J.COUNTED, 50
+    counts = J._Counts()
+    for k in range(40):
+        counts.add(np.array([1, 2, 3] * 5 + list(range(1000 + 100 * k, 1100 + 100 * k)), np.uint64))
+    J.COUNTED = old
+    found = dict(zip(counts.token.tolist(), counts.count.tolist()))
+    assert len(found) <= 100 and all(100 <= found[k] <= 200 for k in (1, 2, 3))
+
+
 def test_keep_one(spark):
     from codestrata.llm.jaccard_join import jaccard_components, keep_one
 
