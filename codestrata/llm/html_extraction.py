@@ -23,7 +23,7 @@ from codestrata.llm.common import drop, save
 #: Neighbours on either side; those with another article that must all share an article's line for it to go.
 REACH, LEAST_AROUND = 4, 4
 #: Rows at the ends of partitions that one task compares.
-CHUNK = 4096
+CHUNK = 256
 
 # Elements of HTML by what they mean for the text, and names by which pages mark what isn't the article.
 DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title select datalist textarea button".split())

@@ -41,11 +41,11 @@ HOT = 1 << 17
 #: Shingles at most of a block of one cell.
 CELL_SHINGLES = 3_000_000
 #: Sketches at most of a block of one cell; rows beyond which a region is passed on as it comes.
-CELL_ROWS, LONG = 10_000, 200_000
+CELL_ROWS, LONG = 1_000, 200_000
 #: Pivots that a large cell picks in a round; rounds at most.
-PIVOTS, PICKS = 16, 4
+PIVOTS, PICKS = 8, 4
 #: Shingles whose counts a task keeps; beyond twice as many the rarest are counted down (Misra and Gries).
-COUNTED = 1 << 20
+COUNTED = 1 << 17
 _ONE, _TWO = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x6C8E9CF570932BD5)
 
 
@@ -60,22 +60,34 @@ class _Counts:
     def __init__(self) -> None:
         self.token, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
+    @staticmethod
+    def _cut(token: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(token) <= 2 * COUNTED:
+            return token, count
+        count = count - np.partition(count, -COUNTED - 1)[-COUNTED - 1]
+        return token[count > 0], count[count > 0]
+
     def add(self, tokens: np.ndarray) -> None:
-        token, count = np.unique(tokens, return_counts=True)
-        self.token, where = np.unique(np.concatenate([self.token, token]), return_inverse=True)
-        self.count = np.bincount(where, np.concatenate([self.count, count]), len(self.token)).astype(np.int64)
-        if len(self.token) > 2 * COUNTED:
-            self.count -= np.partition(self.count, -COUNTED - 1)[-COUNTED - 1]
-            self.token, self.count = self.token[self.count > 0], self.count[self.count > 0]
+        token, count = self._cut(*np.unique(tokens, return_counts=True))
+        if len(self.token):
+            token, where = np.unique(np.concatenate([self.token, token]), return_inverse=True)
+            count = np.bincount(where, np.concatenate([self.count, count]), len(token)).astype(np.int64)
+        self.token, self.count = self._cut(token, count)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text, and one (token, seen) for each shingle that several different sets of the task hold."""
     names = ["doc_id", "th", "n", "key", "key2", "sketch", "token", "seen"]
     counts = _Counts()
+    pool: list[np.ndarray] = []
+
+    def flush() -> None:
+        if pool:
+            counts.add(np.concatenate(pool))
+            pool.clear()
+
     for batch in batches:
         seen: set[int] = set()
-        pool = []
         size, one, two, sketch = [], [], [], []
         for _, _, u, at in kernel.shingle_sets(batch.column("text")):
             a, b = _signatures(u, at)
@@ -87,11 +99,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key not in seen:
                     seen.add(key)
                     pool.append(u[at[k] : at[k + 1]])
-        if pool:
-            counts.add(np.concatenate(pool))
+            if sum(map(len, pool)) > 4 * COUNTED:
+                flush()
         none = pa.nulls(batch.num_rows, pa.int64())
         out = [batch.column("doc_id"), batch.column("th"), *(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (size, one, two)), pa.array(sketch, pa.binary()), none, none]
         yield pa.RecordBatch.from_arrays(out, names)
+    flush()
     token, count = counts.token[counts.count > 2].view(np.int64), counts.count[counts.count > 2]
     for a in range(0, len(token), 50_000):
         own, void = token[a : a + 50_000], pa.nulls(len(token[a : a + 50_000]), pa.int64())
@@ -223,12 +236,14 @@ def _close(sketch: bytes, n: int, other: bytes, m: int) -> bool:
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The members of large cells, with whether one of the cell's ``pivots`` (another one than itself) is near."""
+    kept = ["pivot", "key", "n", "sketch"]
+    last, pivots = None, []
     for batch in batches:
-        near = [
-            any(p["key"] != key and _close(sketch, n, p["sketch"], p["n"]) for p in pivots)
-            for key, n, sketch, pivots in zip(*(batch.column(x).to_pylist() for x in ("key", "n", "sketch", "pivots")))
-        ]
-        kept = ["pivot", "key", "n", "sketch"]
+        near = []
+        for k, (pivot, key, n, sketch) in enumerate(zip(*(batch.column(x).to_pylist() for x in kept))):
+            if pivot != last:  # the same for all rows of a cell
+                last, pivots = pivot, batch.column("pivots")[k].as_py()
+            near.append(any(p["key"] != key and _close(sketch, n, p["sketch"], p["n"]) for p in pivots))
         yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(near, pa.bool_())], [*kept, "near"])
 
 

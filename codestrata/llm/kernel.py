@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are scanned at once; a longer text is scanned alone.
-SLICE = 1 << 21
+SLICE = 1 << 20
 _R = np.uint64(0x9E3779B97F4A7C15)
 _MULT = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 

@@ -15,7 +15,7 @@ from codestrata.llm.common import save
 
 #: Hashed byte trigrams; documents of each language that the model is fitted on, in expectation; likelihoods (words x languages) that are
 #: held at once, but for a longer text.
-BUCKETS, SAMPLE, CELLS = 1 << 16, 2000, 1 << 22
+BUCKETS, SAMPLE, CELLS = 1 << 16, 2000, 1 << 18
 #: Rounds of expectation maximisation; weight of the penalty, log(words) / 2 a share.
 ROUNDS, PENALTY = 10, 4.0
 LETTERS = kernel.WORDY.copy()
