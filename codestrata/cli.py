@@ -28,7 +28,8 @@ def search(store: Store, text: str, commit: str, k: int = 10):
     check_query(text, k)
     vector = embedder_of(store).query(text)
     query = store.spark.createDataFrame([(0, vector)], "query_id long, vector array<float>")
-    view = store.view(commit).withColumn("doc_id", F.struct("path", "start_line", "name"))
+    # a string that sorts as path, line and name do
+    view = store.view(commit).withColumn("doc_id", F.concat_ws("\0", "path", F.lpad(F.col("start_line").cast("string"), 10, "0"), "name"))
     found = dense_topk(query, view, k)
     return store.with_code(found.join(view.drop("vector"), "doc_id")).orderBy("rank")
 

@@ -7,13 +7,15 @@ items of a query's pool, in parallel over queries.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import canonical_path
 from codestrata.functions.vector import dot, l2_normalise
 from codestrata.operators.search import dense_topk
+from codestrata.scratch import drop, save
 
 NEW, SAME, ABSENT = "●", "○", "–"
 DUPLICATE, RENAMED, PENALTY, TIE = 0.95, 0.9, 0.05, 0.01
@@ -47,6 +49,10 @@ def occurrences(chunks: DataFrame, versions: DataFrame) -> DataFrame:
     return rows.join(first, "hash")
 
 
+def versions_of(occ: DataFrame) -> DataFrame:
+    return occ.select("version", "label").distinct()
+
+
 def merge_threshold(a: str, b: str, duplicate: float = DUPLICATE, renamed: float = RENAMED) -> Column:
     """The similarity that two keys must exceed to be one piece of code; null if they never are."""
     f = lambda k, x: F.col(f"{k}.{x}")
@@ -61,33 +67,72 @@ def merge_threshold(a: str, b: str, duplicate: float = DUPLICATE, renamed: float
     )
 
 
-def _groups(batch: pd.DataFrame) -> pd.DataFrame:
-    """Greedy merge of one query's items: rows (query_id, item, versions, pairs), pairs of similarity and other item."""
-    items = sorted(zip(batch["item"].tolist(), batch["versions"].tolist(), batch["pairs"].tolist()), key=lambda x: x[0])
-    root = {i: i for i, _, _ in items}
-    held = {i: set(v) for i, v, _ in items}
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    edges = sorted((-p["cos"], i, p["other"]) for i, _, pairs in items for p in (pairs if pairs is not None else ()))
-    for _, a, b in edges:
-        a, b = top(a), top(b)
-        if a != b and held[a].isdisjoint(held[b]):
-            root[b] = a
-            held[a] |= held[b]
-    tops = [top(i) for i, _, _ in items]
-    number = {t: n for n, t in enumerate(sorted(set(tops)))}
-    return pd.DataFrame({"query_id": batch["query_id"].iloc[0], "item": [i for i, _, _ in items], "lineage": [number[t] for t in tops]})
+def threshold(a: dict, b: dict, duplicate: float = DUPLICATE, renamed: float = RENAMED) -> float | None:
+    """The same for two keys as dictionaries."""
+    blocks = [k["tag"] == "hash" or k["kind"] == "module" for k in (a, b)]
+    if any(blocks):
+        return renamed if all(blocks) and a["path"] == b["path"] else None
+    if a["name"] != b["name"] and a["path"] != b["path"]:
+        return None
+    moved = a["name"] != b["name"] and a["kind"] == b["kind"] == "method" and a["name"].rpartition(".")[2] == b["name"].rpartition(".")[2]
+    return renamed if moved else duplicate
+
+
+def _pairs(keys: list[dict], similar: np.ndarray, i: int, duplicate: float, renamed: float) -> list[tuple[float, int, int]]:
+    """(-similarity, i, j) of the items j after i that are like it enough to be the same code."""
+    out = []
+    for j in range(i + 1, len(keys)):
+        least = threshold(keys[i], keys[j], duplicate, renamed)
+        if least is not None and similar[j] > least:
+            out.append((-float(similar[j]), i, j))
+    return out
+
+
+def _grouped(duplicate: float, renamed: float):
+    """Greedy merge of one query's items: the most similar pairs first, unless a version holds both sides."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("item")
+        item = rows.column("item").to_numpy()
+        vectors = rows.column("vector").combine_chunks()
+        v = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(item), -1)
+        items, first = np.unique(item, return_index=True)
+        ends = [*first[1:].tolist(), len(item)]
+        keys = [rows.column("key")[k].as_py() for k in first.tolist()]
+        held = [set() for _ in keys]
+        for at, versions in zip(np.searchsorted(items, item).tolist(), rows.column("versions").to_pylist()):
+            held[at].update(versions)
+        edges = []
+        for i, (a, b) in enumerate(zip(first.tolist(), ends)):
+            similar = np.maximum.reduceat((v[a:b] @ v.T).max(0), first)  # the best of all pairs of their texts
+            edges += _pairs(keys, similar, i, duplicate, renamed)
+        root = list(range(len(keys)))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for _, i, j in sorted(edges):
+            i, j = top(i), top(j)
+            if i != j and held[i].isdisjoint(held[j]):
+                root[j] = i
+                held[i] |= held[j]
+        tops = [top(i) for i in range(len(keys))]
+        number = {t: n for n, t in enumerate(sorted(set(tops)))}
+        lineage = [number[t] for t in tops]
+        query = pa.array([rows.column("query_id")[0].as_py()] * len(keys), pa.int64())
+        return pa.table({"query_id": query, "item": pa.array(items, pa.int32()), "lineage": pa.array(lineage, pa.int32())})
+
+    return run
 
 
 def search_all_versions(
     queries: DataFrame, occ: DataFrame, vectors: DataFrame, k: int = 10, prefer: str = "latest", tie: float = TIE, duplicate: float = DUPLICATE,
     renamed: float = RENAMED, penalty: float = PENALTY, pool: int | None = None,
 ) -> dict[str, DataFrame]:
-    """lineages, timeline and flat for (query_id, vector); ``occ`` from occurrences(), ``vectors`` (hash, vector)."""
+    """lineages, timeline and flat for (query_id, vector); ``occ`` from occurrences(), ``vectors`` (hash, vector). Timelines are those of
+    the ``k`` lineages."""
     if prefer not in ("latest", "score"):
         raise ValueError("prefer is latest or score")
     size = pool or max(10 * k, 100)
@@ -98,23 +143,15 @@ def search_all_versions(
     touched = top.join(occ.select("hash", "key", "version", "path", "start_line", "name"), "hash")
     first = touched.groupBy("query_id", "key").agg(F.min(F.struct("nth", "version", "path", "start_line", "name")).alias("first"))
     items = first.select("query_id", "key", (F.row_number().over(Window.partitionBy("query_id").orderBy("first")) - 1).alias("item"))
-    members = items.join(occ, "key").join(vectors.select("hash", F.col("vector").alias("v")), "hash").join(unit.withColumnRenamed("vector", "qv"), "query_id")
-    members = members.withColumn("score", dot(F.col("qv"), F.col("v"))).drop("qv", "v")
-    # similarity of items: three disjoint equi-joins instead of all pairs
-    codes = items.join(occ.select("key", "hash").distinct(), "key").join(vectors.select("hash", "vector"), "hash")
-    a = codes.select("query_id", F.col("key").alias("a"), F.col("item").alias("i"), F.col("vector").alias("av"))
-    b = codes.select("query_id", F.col("key").alias("b"), F.col("item").alias("j"), F.col("vector").alias("bv"))
-    kind = lambda x: (F.col(f"{x}.tag") == "hash") | (F.col(f"{x}.kind") == "module")
-    same_name = (F.col("a.name") == F.col("b.name")) & ~kind("a") & ~kind("b")
-    same_file = (F.col("a.path") == F.col("b.path")) & (kind("a") == kind("b")) & (kind("a") | (F.col("a.name") != F.col("b.name")))
-    pairs = [a.join(b, (a["query_id"] == b["query_id"]) & (F.col("i") < F.col("j")) & cond).select(a["query_id"], "a", "b", "i", "j", dot(F.col("av"), F.col("bv")).alias("cos")) for cond in (same_name, same_file)]
-    best = pairs[0].unionByName(pairs[1]).groupBy("query_id", "i", "j").agg(F.max("cos").alias("cos"), F.any_value("a").alias("a"), F.any_value("b").alias("b"))
-    linked = best.filter(F.col("cos") > merge_threshold("a", "b", duplicate, renamed))
-    edges = linked.groupBy("query_id", F.col("i").alias("item")).agg(F.collect_list(F.struct("cos", F.col("j").alias("other"))).alias("pairs"))
-    held = members.groupBy("query_id", "item").agg(F.collect_set("version").alias("versions")).join(edges, ["query_id", "item"], "left")
-    grouped = held.groupBy("query_id").applyInPandas(_groups, "query_id long, item int, lineage int")
-    # read by the ranking, the timelines and the flat list: a pool's rows for each query, kept in memory or on disk
-    rows = members.join(grouped, ["query_id", "item"]).persist()
+    # the texts of each item: those of all versions, whether in the pool or not
+    texts = occ.groupBy("key", "hash").agg(F.collect_set("version").alias("versions"))
+    codes = items.join(texts, "key").join(vectors.select("hash", "vector"), "hash").join(unit.withColumnRenamed("vector", "qv"), "query_id")
+    codes = save(codes.select("query_id", "item", "key", "hash", "versions", "vector", dot(F.col("qv"), F.col("vector")).alias("score")), "codes")
+    grouped = codes.select("query_id", "item", "key", "versions", "vector").groupBy("query_id").applyInArrow(_grouped(duplicate, renamed), "query_id long, item int, lineage int")
+    # read by the ranking, the timelines and the flat list: a pool's rows for each query
+    scored = codes.select("query_id", "item", "key", "hash", "score").join(grouped, ["query_id", "item"])
+    rows = save(scored.join(occ, ["key", "hash"]), "rows")
+    drop(codes)
     order = Window.partitionBy("query_id", "lineage", "version").orderBy(F.desc("score"), "item", "ord", "path", "start_line", "name")
     per_version = rows.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
     of = Window.partitionBy("query_id", "lineage")
@@ -129,7 +166,9 @@ def search_all_versions(
         "query_id", "rank", "lineage", "id", "path", "name", "kind", "start_line", "end_line", "hash", F.col("version"), F.col("score").alias("representative_score"),
         "best_score", "penalty", "rank_score", "n_distinct_code", (F.col("n_distinct_code") > 1).alias("changed"),
     )
-    every = lineages.select("query_id", "lineage").crossJoin(occ.select("version", "label").distinct())
+    # versions are as few as someone chose to index; only the lineages that are shown have a timeline
+    best = save(lineages.filter(F.col("rank") <= k), "lineages")
+    every = best.select("query_id", "lineage").crossJoin(versions_of(occ))
     states = every.join(best_rows.select("query_id", "lineage", "version", "hash", "score"), ["query_id", "lineage", "version"], "left")
     earlier = Window.partitionBy("query_id", "lineage").orderBy("version").rowsBetween(Window.unboundedPreceding, -1)
     before = F.last("hash", ignorenulls=True).over(earlier)  # of the last version that had the code
@@ -141,4 +180,4 @@ def search_all_versions(
     flat = top.join(occ.select("hash", "version", "id"), "hash").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("version"), "nth", "id")))
     of_chunk = rows.groupBy("query_id", "version", "id").agg(F.max("lineage").alias("lineage"))
     flat = flat.filter(F.col("rank") <= max(k, 10)).join(of_chunk, ["query_id", "version", "id"]).select("query_id", "rank", "version", "id", "score", "lineage")
-    return {"lineages": lineages.filter(F.col("rank") <= k).join(text, ["query_id", "lineage"]), "ranked": lineages, "timeline": timeline, "flat": flat}
+    return {"lineages": best.join(text, ["query_id", "lineage"]), "ranked": lineages, "timeline": timeline, "flat": flat}

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.text import version_label
 from codestrata.schemas import CHUNK_ROW, CONTENT, EMBEDDING, VERSION
+from codestrata.scratch import drop, save
+
+
+def unembedded(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """The distinct hashes of ``chunks`` that ``embeddings`` doesn't hold."""
+    return chunks.select("hash").distinct().join(embeddings.select("hash"), "hash", "left_anti")
 
 
 class Store:
@@ -73,7 +79,9 @@ class Store:
         return joined.withColumn("vector", F.when(F.col("vector").isNull(), F.raise_error(F.concat(F.lit("no vector of "), "hash"))).otherwise(F.col("vector")))
 
     def with_code(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.content(), "hash", "left")
+        """``rows`` with code; a hash without content is an error."""
+        joined = rows.join(self.content(), "hash", "left")
+        return joined.withColumn("code", F.when(F.col("code").isNull(), F.raise_error(F.concat(F.lit("no content of "), "hash"))).otherwise(F.col("code")))
 
     def add_content(self, chunks: DataFrame) -> None:
         """Keep the texts whose hashes are new; the first of a hash stays."""
@@ -81,12 +89,16 @@ class Store:
 
     def embed_missing(self, chunks: DataFrame, embedder) -> int:
         """Embed each distinct new text once: the embedder stands above the anti-join. Gives the number of new vectors."""
-        known = self.embeddings(embedder.model_id).select("hash")
-        missing = chunks.select("hash").distinct().join(known, "hash", "left_anti")
+        missing = save(self.missing(chunks, embedder.model_id), "missing")
         new = missing.join(self.content(), "hash").withColumn("vector", embedder.documents(F.col("code")))
-        before = known.count()
         new.select(F.lit(embedder.model_id).alias("model_id"), "hash", "vector").write.mode("append").parquet(f"{self.path}/embeddings")
-        return self.embeddings(embedder.model_id).count() - before
+        made = missing.count()
+        drop(missing)
+        return made
+
+    def missing(self, chunks: DataFrame, model_id: str) -> DataFrame:
+        """The distinct hashes of ``chunks`` that have no vector of the model."""
+        return unembedded(chunks, self.embeddings(model_id))
 
     def write_chunks(self, commit: str, chunks: DataFrame, build: str) -> None:
         rows = chunks.withColumns({"commit": F.lit(commit), "build": F.lit(build)}).drop("code")

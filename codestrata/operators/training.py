@@ -20,6 +20,24 @@ def guard_partition(queries: DataFrame, qrels: DataFrame, wanted: str = "train")
     return queries
 
 
+def occurring(items: DataFrame, docs: DataFrame, run: int = 4) -> DataFrame:
+    """Judgements (query_id, doc_id, score 1): the documents (doc_id, text) in which the text of an item (query_id, text) occurs.
+
+    Where an item occurs, so do its second to fifth word, between blanks: hashed runs of ``run`` words are joined, then the pairs
+    that meet are verified. Only items of fewer than ``run`` + 2 words are held against every document.
+    """
+    split = F.split("text", " ")
+    asked = items.filter("text <> ''").withColumn("words", split).withColumn("long", F.size("words") >= run + 2)
+    at = lambda words, k: F.xxhash64(*[F.get(words, k + j) for j in range(run)])
+    wanted = asked.filter("long").select("query_id", F.col("text").alias("item"), at(F.col("words"), F.lit(1)).alias("hash"))
+    words = docs.withColumn("words", split).filter(F.size("words") >= run)
+    runs = F.transform(F.sequence(F.lit(0), F.size("words") - run), lambda k: at(F.col("words"), k))
+    hashed = words.select("doc_id", "text", F.explode(F.array_distinct(runs)).alias("hash"))
+    met = hashed.join(wanted, "hash").filter(F.contains("text", "item"))
+    short = docs.join(asked.filter("not long").select("query_id", F.col("text").alias("item")), F.contains("text", "item"))
+    return met.select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id")).distinct().withColumn("score", F.lit(1))
+
+
 def pairs(qrels: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, doc_id, anchor, positive); judgements without a query or a document drop out."""
     q = queries.select("query_id", F.col("text").alias("anchor"))
@@ -36,7 +54,7 @@ def missing(qrels: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFram
 def split(rows: DataFrame, key: str, held_out: int = 500, seed: int = 0) -> DataFrame:
     """``rows`` with held_out: true for the ``held_out`` keys that come first by hash. Python's shuffle has no equal in SQL."""
     chosen = rows.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), key), key).limit(held_out).withColumn("held_out", F.lit(True))
-    return rows.join(F.broadcast(chosen), key, "left").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+    return rows.join(chosen, key, "left").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
 
 
 def subset(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, n_queries: int, n_docs: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -83,9 +83,8 @@ def candidate_pool(spark, d):
 )
 def multi_source_merge(spark, d):
     """One source for each label, merged."""
-    docs = vectors(spark, d)
-    engine = search.SearchEngine([search.SearchSource(f"label{n}", docs.filter(F.col("label") == n)) for n in range(10)])
-    return rounded(engine.search(asked(spark, d), 5))
+    found = search.best_of_each(asked(spark, d), vectors(spark, d), "label", 5)
+    return rounded(found.select("query_id", F.format_string("label%d", "label").alias("source"), "doc_id", "score", "rank"))
 
 
 @query(
@@ -167,7 +166,7 @@ def _words(df: DataFrame, key: str) -> DataFrame:
 
 
 def _index(spark, d):
-    return search.bm25_index(_words(read(spark, d, "documents"), "doc_id"))
+    return search.Bm25(_words(read(spark, d, "documents"), "doc_id"))
 
 
 def _asked_words(spark, d):
@@ -175,14 +174,14 @@ def _asked_words(spark, d):
 
 
 def _bm25(spark, d, k: int):
-    scored = search.bm25_scores(_index(spark, d), _asked_words(spark, d)).withColumn("score", F.round("score", 9))
+    scored = _index(spark, d).scores(_asked_words(spark, d)).withColumn("score", F.round("score", 9))
     return search.ranked(scored, k)
 
 
 @query(_BM25 + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences, round(max(weight), 6) AS top_weight FROM w GROUP BY term")
 def bm25_stats(spark, d):
     """The weights of all postings, by term."""
-    return _index(spark, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"), F.round(F.max("weight"), 6).alias("top_weight"))
+    return _index(spark, d).weights().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"), F.round(F.max("weight"), 6).alias("top_weight"))
 
 
 @query(_BM25 + "SELECT query_id, doc_id, round(round(score, 9), 6) AS score, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= 10")
@@ -197,7 +196,7 @@ def bm25_topk(spark, d):
 )
 def rerank_semi(spark, d):
     """K8, C11: only candidate documents are ranked."""
-    scored = search.bm25_scores(_index(spark, d), _asked_words(spark, d)).withColumn("score", F.round("score", 9))
+    scored = _index(spark, d).scores(_asked_words(spark, d)).withColumn("score", F.round("score", 9))
     good = read(spark, d, "labels").filter("quality = 1").select("doc_id").distinct()
     return rounded(search.ranked(scored.join(good, "doc_id", "left_semi"), 10))
 
@@ -224,8 +223,8 @@ _QRELS = "qr AS (SELECT DISTINCT b.item_id AS query_id, x.doc_id, 1 AS score FRO
 
 
 def _qrels(spark, d):
-    items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    return read(spark, d, "documents").select("doc_id", "text").join(items, F.contains("text", "item")).select("query_id", "doc_id", F.lit(1).alias("score")).distinct()
+    items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return training.occurring(items, read(spark, d, "documents").select("doc_id", "text"))
 
 
 _EVAL = (

@@ -39,9 +39,34 @@ def test_bm25_against_brute_force(spark):
     mean = sum(idf.values()) / len(idf)
     idf = {t: 0.25 * mean if v < 0 else v for t, v in idf.items()}
     want = {d: sum(idf.get(t, 0) * ts.count(t) * 2.5 / (ts.count(t) + 1.5 * (0.25 + 0.75 * len(ts) / avgdl)) for t in query) for d, ts in docs.items()}
-    index = search.bm25_index(spark.createDataFrame(list(docs.items()), "doc_id long, tokens array<string>"))
-    got = {r["doc_id"]: r["score"] for r in search.bm25_scores(index, spark.createDataFrame([(0, query)], "query_id long, tokens array<string>")).collect()}
+    index = search.Bm25(spark.createDataFrame(list(docs.items()), "doc_id long, tokens array<string>"))
+    got = {r["doc_id"]: r["score"] for r in index.scores(spark.createDataFrame([(0, query)], "query_id long, tokens array<string>")).collect()}
     assert got == pytest.approx({d: s for d, s in want.items() if s > 0})
+    none = search.Bm25(spark.createDataFrame([], "doc_id long, tokens array<string>"))
+    assert none.weights().count() == 0 == none.scores(spark.createDataFrame([(0, query)], "query_id long, tokens array<string>")).count()
+
+
+def test_few_and_many_queries_give_the_same(spark):
+    """Vectors that hold nulls or no numbers, or are of another length, never come back, whatever the number of queries."""
+    docs = vectors(spark, [(1, [1.0, 0.0]), (2, [0.5, 0.1]), (3, [math.nan, 1.0]), (4, [None, 1.0]), (5, [math.inf, 1.0]), (6, [1.0]), (7, None), (8, []), (9, [1.0, 0.0])])
+    for n in (1, 64, 65, 200):
+        q = vectors(spark, [*[(i, [1.0, float(i)]) for i in range(n)], (1000, None), (1001, [math.nan, 1.0])], "query_id")
+        got = [(r["doc_id"], r["score"], r["rank"]) for r in search.dense_topk(q, docs, 5).filter("query_id = 0").orderBy("rank").collect()]
+        assert got == [(1, 1.0, 1), (9, 1.0, 2), (2, 0.5, 3)]
+        with pytest.raises(ValueError):
+            search.dense_topk(q, docs.withColumn("doc_id", F.struct("doc_id")), 5)
+        with pytest.raises(ValueError):
+            search.dense_topk(q.union(vectors(spark, [(5000, [1.0])], "query_id")), docs, 5)
+    assert search.dense_topk(q.limit(0), docs, 5).count() == 0
+
+
+def test_occurring(spark):
+    from codestrata.operators.training import occurring
+
+    docs = {1: "x one two three four five six seven", 2: "one two three four five si", 3: "xone two three four five sixty", 4: "short item", 5: "", 6: None}
+    items = {10: "one two three four five six", 11: "short", 12: "", 13: None, 14: "two  three"}
+    got = occurring(spark.createDataFrame(list(items.items()), "query_id long, text string"), spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert sorted((r["query_id"], r["doc_id"]) for r in got) == sorted((q, d) for q, i in items.items() for d, t in docs.items() if i and t and i in t)
 
 
 def test_engine(spark):
@@ -54,6 +79,25 @@ def test_engine(spark):
             engine.search(vectors(spark, [(0, [1.0])], "query_id"), **bad)
     with pytest.raises(ValueError):
         search.SearchEngine([search.SearchSource("a", docs)] * 2)
+    assert engine.search(vectors(spark, [(0, [1.0])], "query_id"), 3, []).count() == 3  # no names: all sources
+
+    class Encoder:
+        def query(self, text):
+            return [2.0]
+
+    asked = search.SearchEngine([search.SearchSource("a", docs, 1)], Encoder()).ask("what", 5)
+    assert [(h["doc_id"], h["score"]) for h in asked["hits"]] == [(1, 1.0), (2, 0.5)] and asked["n_searched"] == 2 and asked["total_ms"] >= asked["search_ms"] > 0
+    with pytest.raises(ValueError):
+        search.SearchSource("a", docs, 2).search(vectors(spark, [(0, [1.0])], "query_id"), 1)
+
+
+def test_best_of_each_is_what_sources_find(spark):
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame([(i, rng.integers(0, 3, 3).astype(float).tolist(), i % 4) for i in range(90)], "doc_id long, vector array<double>, label int")
+    q = vectors(spark, [(i, rng.integers(0, 3, 3).astype(float).tolist()) for i in range(5)], "query_id")
+    engine = search.SearchEngine([search.SearchSource(str(n), docs.filter(F.col("label") == n)) for n in range(4)])
+    want = sorted((r["query_id"], r["rank"], int(r["source"]), r["doc_id"], r["score"]) for r in engine.search(q, 6).collect())
+    assert want == sorted((r["query_id"], r["rank"], r["label"], r["doc_id"], r["score"]) for r in search.best_of_each(q, docs, "label", 6).collect())
 
 
 def test_metrics(spark):
