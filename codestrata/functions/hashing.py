@@ -67,6 +67,3 @@ class ModelEmbedder:
         from codestrata.functions.text import cleaned
 
         return list(map(float, self.load()([self.query_prefix + cleaned(text.strip(), self.clean)])[0]))
-
-
-EMBEDDERS = {"hashing": HashingEmbedder, "model": ModelEmbedder}

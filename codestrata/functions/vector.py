@@ -15,5 +15,6 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalise(v: Column) -> Column:
-    """Unit vector; the zero vector stays zero."""
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm(v), F.lit(1e-12)))
+    """Unit vector; the zero vector stays zero. The length is found once, as the one element of an array, not for each component."""
+    length = F.array(F.greatest(norm(v), F.lit(1e-12)))
+    return F.when(v.isNotNull(), F.get(F.transform(length, lambda n: F.transform(v, lambda x: x.cast("double") / n)), F.lit(0)))

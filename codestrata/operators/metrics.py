@@ -34,13 +34,18 @@ def per_query(run: DataFrame, qrels: DataFrame, cuts: Sequence[int] = CUTS) -> D
             zero(F.col(f"dcg_{k}") / F.col(f"ideal_{k}")).alias(f"ndcg_at_{k}"), zero(F.col(f"ap_{k}") / F.least(F.col("relevant"), F.lit(k))).alias(f"map_at_{k}"),
             (hits / F.col("relevant")).alias(f"recall_at_{k}"), (hits / F.lit(k)).alias(f"precision_at_{k}"),
             zero(F.when(F.col("first") <= k, 1 / F.col("first"))).alias(f"mrr_at_{k}"), (hits > 0).cast("double").alias(f"hit_rate_at_{k}"),
+            (hits > 0).cast("double").alias(f"accuracy_at_{k}"),
         ]
     return both.select("query_id", *out)
 
 
 def evaluate(run: DataFrame, qrels: DataFrame, cuts: Sequence[int] = CUTS) -> DataFrame:
     """One row of means over all judged queries."""
-    each = per_query(run, qrels, cuts)
+    return means(per_query(run, qrels, cuts))
+
+
+def means(each: DataFrame) -> DataFrame:
+    """One row: the number of queries and the means of their metrics."""
     return each.agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in each.columns[1:]])
 
 

@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import version_label
+from codestrata.operators.dataset import read_json, write_json
 from codestrata.schemas import CHUNK_ROW, CONTENT, EMBEDDING, VERSION
 from codestrata.scratch import drop, save
 
 
+FORMAT = 1
+
+
 def unembedded(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """The distinct hashes of ``chunks`` that ``embeddings`` doesn't hold."""
     return chunks.select("hash").distinct().join(embeddings.select("hash"), "hash", "left_anti")
@@ -21,7 +25,7 @@ def unembedded(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 class Store:
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self._checked = spark, path.rstrip("/"), False
 
     def _read(self, table: str, schema: str) -> DataFrame:
         try:
@@ -44,8 +48,17 @@ class Store:
         found = found.join(live, ["commit", "build"], "left_semi").drop("build")
         return found if commit is None else found.filter(F.col("commit") == commit)
 
+    def _check_format(self) -> None:
+        """A store that another format was written in is an error; an empty folder has none yet."""
+        if not self._checked:
+            found = (read_json(self.spark, f"{self.path}/format.json") or {}).get("format", FORMAT)
+            if found != FORMAT:
+                raise ValueError(f"unsupported store format {found!r}")
+            self._checked = True
+
     def versions(self) -> DataFrame:
         """The newest row of each commit, oldest commit first by its date as text."""
+        self._check_format()
         rows = self._read("versions", VERSION)
         newest = F.row_number().over(Window.partitionBy("commit").orderBy(F.desc("built_at"), F.desc(F.size("refs"))))
         return rows.withColumn("nth", newest).filter("nth = 1").drop("nth").orderBy("committed_at", "commit")
@@ -106,4 +119,6 @@ class Store:
 
     def write_version(self, meta: dict) -> None:
         """The commit marker; only after this does the version exist."""
+        self._check_format()
+        write_json(self.spark, f"{self.path}/format.json", {"format": FORMAT})
         self.spark.createDataFrame([tuple(meta.get(f.split()[0]) for f in VERSION.split(", "))], VERSION).coalesce(1).write.mode("append").parquet(f"{self.path}/versions")

@@ -14,6 +14,3 @@ VERSION = (
 TREE = "commit string, path string, blob string, mode string"
 DIFF = "base string, commit string, status string, path string"
 COMMITS = "commit string, git_parent string, committed_at string, subject string"
-CORPUS = "id string, code string, url string, partition string, language string, vector array<float>"
-RUN = "query_id string, doc_id string, score double"
-KINDS = ("function", "method", "class", "module", "file")

@@ -36,3 +36,9 @@ def drop(*saved: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def spread(df: DataFrame, limit: int = 1 << 28) -> DataFrame:
+    """``df`` dealt to all cores if Spark takes it for smaller than ``limit`` bytes: a small file is few splits, whatever is made of its rows."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) < limit else df
