@@ -42,7 +42,8 @@ class AllVersionsSource(SearchSource):
 
     def __init__(self, store: Store, repo: str, prefer: str = "latest", name: str | None = None) -> None:
         self.store, self.repo, self.prefer = store, repo, prefer
-        self.occurrences, self.vectors = occurrences(store.chunks(), store.versions()), store.embeddings(store.model_id())
+        # made once for all searches
+        self.occurrences, self.vectors = save(occurrences(store.chunks(), store.versions()), "occurrences"), store.embeddings(store.model_id())
         super().__init__(name or f"{repo}@all", self.vectors.withColumnRenamed("hash", "doc_id"))
 
     def __len__(self) -> int:

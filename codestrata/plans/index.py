@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import text as X
 from codestrata.functions.hashing import hash_embed
+from codestrata.operators import dataset
 from codestrata.operators.chunking import chunk_files
 from codestrata.operators.lineage import ABSENT, NEW, SAME, merge_threshold
+from codestrata.operators.store import unembedded
 from codestrata.plans.retrieval import read
 from codestrata.sources.git import tree_diff
 
@@ -58,32 +60,70 @@ def embedding_reuse_counts(spark, d):
     )
 
 
-_TREES = _C + ", b AS (SELECT path, max(hash) AS h FROM c WHERE version = 'src1' GROUP BY path), n AS (SELECT path, max(hash) AS h FROM c WHERE version = 'src2' GROUP BY path), "
-_DIFF = _TREES + "t AS (SELECT coalesce(b.path, n.path) AS path, CASE WHEN b.h IS NULL THEN 'A' WHEN n.h IS NULL THEN 'D' ELSE 'M' END AS status FROM b FULL JOIN n ON b.path = n.path WHERE b.h IS DISTINCT FROM n.h) "
+# every version against the one before it in order of name; a path's blob stands for all texts that the version has there
+_PAIRS = (
+    _C + ", v AS (SELECT version, row_number() OVER (ORDER BY version) AS nth FROM (SELECT DISTINCT version FROM c)), "
+    "t AS (SELECT nth, path, md5(string_agg(hash, '' ORDER BY hash)) AS blob FROM c JOIN v USING (version) GROUP BY nth, path), "
+    "d AS (SELECT pair, path, CASE WHEN b.blob IS NULL THEN 'A' WHEN n.blob IS NULL THEN 'D' ELSE 'M' END AS status FROM (SELECT nth + 1 AS pair, path, blob FROM t WHERE nth < (SELECT max(nth) FROM v)) b "
+    "FULL JOIN (SELECT nth AS pair, path, blob FROM t WHERE nth > 1) n USING (pair, path) WHERE b.blob IS DISTINCT FROM n.blob) "
+)
+
+
+def _numbered(spark, d) -> DataFrame:
+    """Chunks with nth, the place of their version in order of name; versions are few."""
+    c = chunks(spark, d).select("doc_id", "version", "path", "hash")
+    return c.join(c.select("version").distinct().withColumn("nth", F.row_number().over(Window.orderBy("version"))), "version")
+
 
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` as the base and as the new side of each pair of versions, which the newer one's number names."""
+    last = rows.agg(F.max("nth").alias("last"))  # one row
+    return rows.crossJoin(F.broadcast(last)).filter("nth < last").withColumn("pair", F.col("nth") + 1).drop("last"), rows.filter("nth > 1").withColumn("pair", F.col("nth"))
 
-def _trees(spark, d):
-    tree = lambda v: chunks(spark, d).filter(F.col("version") == v).groupBy("path").agg(F.max("hash").alias("blob")).withColumn("mode", F.lit("100644"))
-    return tree("src1"), tree("src2")
 
+def _touched(rows: DataFrame) -> DataFrame:
+    trees = rows.groupBy("nth", "path").agg(F.md5(F.array_join(F.sort_array(F.collect_list("hash")), "")).alias("blob")).withColumn("mode", F.lit("100644"))
+    return tree_diff(*_sides(trees), by=("pair",))
 
-@query(_DIFF + "SELECT path, status FROM t")
+
+@query(_PAIRS + "SELECT pair, path, status FROM d")
 def tree_difference(spark, d):
-    """A3: what differs between two versions."""
-    return tree_diff(*_trees(spark, d))
+    """A3: what differs between each two consecutive versions."""
+    return _touched(_numbered(spark, d))
 
 
 @query(
-    _DIFF + "SELECT c.doc_id, c.path, 'carried' AS origin FROM c WHERE version = 'src1' AND path NOT IN (SELECT path FROM t) "
-    "UNION ALL SELECT c.doc_id, c.path, 'new' FROM c WHERE version = 'src2' AND path IN (SELECT path FROM t)"
+    _PAIRS + "SELECT pair, c.doc_id, c.path, 'carried' AS origin FROM (SELECT nth + 1 AS pair, doc_id, path FROM c JOIN v USING (version) WHERE nth < (SELECT max(nth) FROM v)) c ANTI JOIN d USING (pair, path) "
+    "UNION ALL SELECT pair, c.doc_id, c.path, 'new' FROM (SELECT nth AS pair, doc_id, path FROM c JOIN v USING (version)) c SEMI JOIN d USING (pair, path)"
 )
 def incremental_carry(spark, d):
-    """Chunks of unchanged paths are carried, those of touched paths are new."""
-    touched = tree_diff(*_trees(spark, d)).select("path")
-    c = chunks(spark, d).select("doc_id", "path", "version")
-    carried = c.filter("version = 'src1'").join(touched, "path", "left_anti").withColumn("origin", F.lit("carried"))
-    new = c.filter("version = 'src2'").join(touched, "path", "left_semi").withColumn("origin", F.lit("new"))
-    return carried.unionByName(new).select("doc_id", "path", "origin")
+    """Each version built from the one before: chunks of unchanged paths are carried, those of touched paths are new."""
+    rows = _numbered(spark, d)
+    touched = _touched(rows).select("pair", "path")
+    base, new = _sides(rows)
+    carried = base.join(touched, ["pair", "path"], "left_anti").withColumn("origin", F.lit("carried"))
+    return carried.unionByName(new.join(touched, ["pair", "path"], "left_semi").withColumn("origin", F.lit("new"))).select("pair", "doc_id", "path", "origin")
+
+
+@query(
+    _PAIRS + ", x AS (SELECT nth + 1 AS pair, hash FROM c JOIN v USING (version) WHERE nth < (SELECT max(nth) FROM v)), y AS (SELECT nth AS pair, hash FROM c JOIN v USING (version) WHERE nth > 1) "
+    "SELECT pair, count(CASE WHEN side = 0 THEN 1 END) AS only_base, count(CASE WHEN side = 1 THEN 1 END) AS only_new FROM ((SELECT *, 0 AS side FROM (FROM x EXCEPT ALL FROM y)) UNION ALL (SELECT *, 1 FROM (FROM y EXCEPT ALL FROM x))) GROUP BY pair"
+)
+def multiset_difference(spark, d):
+    """H7, H2: each two consecutive versions as multisets of texts; equal builds would differ in nothing."""
+    a, b = (x.select("pair", "hash") for x in _sides(_numbered(spark, d)))
+    both = a.exceptAll(b).withColumn("side", F.lit(0)).unionByName(b.exceptAll(a).withColumn("side", F.lit(1)))
+    return both.groupBy("pair").agg(F.count_if(F.col("side") == 0).alias("only_base"), F.count_if(F.col("side") == 1).alias("only_new"))
+
+
+@query(
+    _C + ", f AS (SELECT hash, min(version) AS first FROM c GROUP BY hash) SELECT hash, count(*) AS chunks FROM c JOIN f USING (hash) WHERE first > 'src3' GROUP BY hash"
+)
+def missing_hashes(spark, d):
+    """The texts that no version up to src3 held, by the store's own anti-join."""
+    c = chunks(spark, d).select("version", "hash")
+    lost = unembedded(c, c.filter("version <= 'src3'"))
+    return c.join(lost, "hash").groupBy("hash").agg(F.count("*").alias("chunks"))
 
 
 @query(_C + "SELECT version, count(*) AS n_chunks, count(DISTINCT path) AS n_files, count(DISTINCT hash) AS n_distinct, count(CASE WHEN lang = 'en' THEN 1 END) AS english FROM c GROUP BY version")
@@ -151,18 +191,6 @@ def version_chain(spark, d):
     return chunks(spark, d).select("version").distinct().select("version", F.lag("version").over(Window.orderBy("version")).alias("previous"))
 
 
-@query(
-    _C + "SELECT (SELECT count(*) FROM (SELECT hash FROM c WHERE version = 'src1' EXCEPT ALL SELECT hash FROM c WHERE version = 'src2')) AS only_left, "
-    "(SELECT count(*) FROM (SELECT hash FROM c WHERE version = 'src2' EXCEPT ALL SELECT hash FROM c WHERE version = 'src1')) AS only_right"
-)
-def multiset_difference(spark, d):
-    """H7, H2: two versions as multisets of texts; both counts are 0 for equal builds."""
-    side = lambda v: chunks(spark, d).filter(F.col("version") == v).select("hash")
-    a, b = side("src1"), side("src2")
-    left, right = a.exceptAll(b).agg(F.count("*").alias("only_left")), b.exceptAll(a).agg(F.count("*").alias("only_right"))
-    return left.crossJoin(right)
-
-
 @query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') AS slug FROM pages")
 def slug_sql(spark, d):
     """I3."""
@@ -199,61 +227,88 @@ def registry_resolve(spark, d):
     """An exact key wins, else keys with that prefix."""
     key = F.col("o_orderkey").cast("string")
     rows = read(spark, d, "orders").filter(key.startswith("1234")).select("o_orderkey", (key == "1234").alias("exact"))
-    return rows.withColumn("any_exact", F.max("exact").over(Window.partitionBy())).filter("exact or not any_exact").select("o_orderkey")
+    any_exact = rows.agg(F.coalesce(F.max("exact"), F.lit(False)).alias("any_exact"))  # one row
+    return rows.crossJoin(F.broadcast(any_exact)).filter("exact or not any_exact").select("o_orderkey")
 
 
-_CASES = [
-    ("same name, moved", ("name", "a.py", "function", "f", None), ("name", "b.py", "function", "f", None), 0.95),
-    ("renamed in place", ("name", "a.py", "function", "f", None), ("name", "a.py", "function", "g", None), 0.95),
-    ("other name and file", ("name", "a.py", "function", "f", None), ("name", "b.py", "function", "g", None), None),
-    ("class renamed", ("name", "a.py", "method", "A.run", None), ("name", "a.py", "method", "B.run", None), 0.9),
-    ("other method", ("name", "a.py", "method", "A.run", None), ("name", "a.py", "method", "B.go", None), 0.95),
-    ("modules of a file", ("hash", "a.py", None, None, "h1"), ("name", "a.py", "module", "<module>", None), 0.9),
-    ("modules of two files", ("hash", "a.py", None, None, "h1"), ("hash", "b.py", None, None, "h2"), None),
-    ("module and function", ("hash", "a.py", None, None, "h1"), ("name", "a.py", "function", "f", None), None),
-]
+# keys of code made from vectors: every eleventh a block told by its text, others modules, methods or functions of a few files
+_KEYS = (
+    "k AS (SELECT vec_id AS n, CASE WHEN vec_id % 11 = 0 THEN 'hash' ELSE 'name' END AS tag, 'f' || ((vec_id // 7) % 3) || '.py' AS path, "
+    "CASE WHEN vec_id % 11 = 0 THEN NULL WHEN vec_id % 5 = 0 THEN 'module' WHEN vec_id % 3 = 0 THEN 'method' ELSE 'function' END AS kind, "
+    "CASE WHEN vec_id % 11 = 0 THEN NULL WHEN vec_id % 5 = 0 THEN '<module>' WHEN vec_id % 3 = 0 THEN 'C' || (vec_id % 4) || '.m' || (vec_id % 2) ELSE 'g' || (vec_id % 6) END AS name FROM embeddings)"
+)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({'NULL' if t is None else t} AS DOUBLE))" for n, _, _, t in _CASES) + ") AS t(pair, threshold)")
-def merge_threshold_case(spark, d):
-    """Stated pairs of keys and the similarity that each must exceed."""
-    key = "struct<tag:string,path:string,kind:string,name:string,hash:string>"
-    rows = spark.createDataFrame([(n, a, b) for n, a, b, _ in _CASES], f"pair string, a {key}, b {key}")
-    return rows.select("pair", merge_threshold("a", "b").cast("double").alias("threshold"))
+@query(
+    f"WITH {_KEYS}, p AS (SELECT a.n AS a, b.n AS b, a.tag = 'hash' OR coalesce(a.kind = 'module', false) AS ma, b.tag = 'hash' OR coalesce(b.kind = 'module', false) AS mb, a.path = b.path AS same_file, a.name = b.name AS same_name, "
+    "a.kind = 'method' AND b.kind = 'method' AND regexp_extract(a.name, '[^.]*$') = regexp_extract(b.name, '[^.]*$') AS same_method FROM k a JOIN k b ON a.n // 40 = b.n // 40 AND a.n < b.n) "
+    "SELECT a, b, CASE WHEN ma AND mb AND same_file THEN 0.9 WHEN ma OR mb THEN NULL WHEN same_name THEN 0.95 WHEN NOT same_file THEN NULL WHEN same_method THEN 0.9 ELSE 0.95 END::DOUBLE AS threshold FROM p"
+)
+def merge_threshold_pairs(spark, d):
+    """The similarity that two keys must exceed, for all pairs within forty vectors."""
+    n = F.col("vec_id")
+    told, module, method = n % 11 == 0, n % 5 == 0, n % 3 == 0
+    kind = F.when(told, None).when(module, "module").when(method, "method").otherwise("function")
+    name = F.when(told, None).when(module, "<module>").when(method, F.format_string("C%d.m%d", n % 4, n % 2)).otherwise(F.format_string("g%d", n % 6))
+    key = F.struct(F.when(told, "hash").otherwise("name").alias("tag"), F.format_string("f%d.py", F.floor(n / 7) % 3).alias("path"), kind.alias("kind"), name.alias("name"), n.cast("string").alias("hash"))
+    k = read(spark, d, "embeddings").select(n.alias("n"), F.floor(n / 40).alias("of"), key.alias("key"))
+    x, y = k.toDF("a", "of", "ka"), k.toDF("b", "of", "kb")
+    return x.join(y, "of").filter("a < b").select("a", "b", merge_threshold("ka", "kb").cast("double").alias("threshold"))
+
+
+_STATEMENT = (
+    "CASE doc_id % 4 WHEN 0 THEN 'Task ' || doc_id || '.' || chr(10) || '-----Input-----' || chr(10) || lang || chr(10) || '=====Output Format=====' || chr(10) || source || chr(10) || 'Note:' || chr(10) || 'gone' "
+    "WHEN 1 THEN 'Task ' || doc_id || '  ' || chr(10) || chr(10) || chr(10) || chr(10) || lang || chr(10) || 'Example 1:' || chr(10) || source WHEN 2 THEN 'Task ' || doc_id ELSE 'Examples' || chr(10) || source END"
+)
 
 
-_STATEMENTS = [
-    ("dashes", "Add two numbers.\n-----Input-----\nTwo integers.\n-----Output-----\nTheir sum.\n-----Examples-----\n1 2\n3"),
-    ("bare", "Given an array, sort it.\n\nExample 1:\n\n[2,1] -> [1,2]\nNote:\nIt is short."),
-    ("plain", "Count islands in a grid."),
-    ("equal signs", "=====Problem Statement=====\nFind x.\n=====Input Format=====\nA line.\n=====Output Format=====\nx"),
-    ("only dropped", "Example:\n1"),
-]
+@query(
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Task ' || doc_id || '.' || chr(10) || chr(10) || 'Input:' || chr(10) || lang || chr(10) || chr(10) || 'Output format:' || chr(10) || source "
+    "WHEN 1 THEN 'Task ' || doc_id || chr(10) || chr(10) || lang WHEN 2 THEN 'Task ' || doc_id ELSE 'Examples' || chr(10) || source END AS cleaned FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL"
+)
+def clean_query(spark, d):
+    """A statement with sections made from each document."""
+    rows = read(spark, d, "documents").filter("lang is not null and source is not null")
+    return rows.select("doc_id", X.clean_query(F.expr(_STATEMENT.replace("chr(10)", "char(10)"))).alias("cleaned"))
 
 
 @query(
-    "SELECT * FROM (VALUES ('dashes', 'Add two numbers.' || chr(10) || chr(10) || 'Input:' || chr(10) || 'Two integers.' || chr(10) || chr(10) || 'Output:' || chr(10) || 'Their sum.'), "
-    "('bare', 'Given an array, sort it.'), ('plain', 'Count islands in a grid.'), ('equal signs', 'Find x.' || chr(10) || chr(10) || 'Input format:' || chr(10) || 'A line.' || chr(10) || chr(10) || 'Output format:' || chr(10) || 'x'), "
-    "('only dropped', 'Example:' || chr(10) || '1')) AS t(name, cleaned)"
+    f"WITH s AS (SELECT doc_id, {_STATEMENT} AS text FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL) SELECT count(*) AS queries, count(CASE WHEN doc_id % 4 < 2 THEN 1 END) AS changed, "
+    "round(avg(length(text)), 6) AS chars_before, round(avg(CASE doc_id % 4 WHEN 0 THEN instr(text, chr(10)) - 1 WHEN 1 THEN length('Task ' || doc_id) + 2 + instr(split_part(text, chr(10) || chr(10) || chr(10) || chr(10), 2), chr(10)) - 1 "
+    "ELSE length(text) END), 6) AS chars_after FROM s"
 )
-def clean_query(spark, d):
-    """Stated problem statements."""
-    return spark.createDataFrame(_STATEMENTS, "name string, text string").select("name", X.clean_query(F.col("text")).alias("cleaned"))
+def clean_query_statistics(spark, d):
+    """What cleaning those statements to their descriptions changes."""
+    rows = read(spark, d, "documents").filter("lang is not null and source is not null").select(F.expr(_STATEMENT.replace("chr(10)", "char(10)")).alias("text"))
+    got = dataset.clean_statistics(rows, "desc")
+    return got.select("queries", "changed", *[F.round(c, 6).alias(c) for c in ("chars_before", "chars_after")])
 
 
-_FILES = [
-    ("pkg/core.py", b'"""Doc."""\nimport os\nLIMIT = 3\n\n@cache\ndef parse(x):\n    return x\n\nclass Session:\n    """S."""\n    retries = 1\n    def send(self):\n        return self\n\nif __name__ == "__main__":\n    parse(1)\n'),
-    ("legacy.py", b"print 'hello'\n"), ("README.md", b"# demo\n\ntext\n"), ("logo.png", b"\x89PNG\0\0"), ("blank.txt", b" \n\n"), ("pkg/__init__.py", b"import os\n"),
-]
+@query("SELECT count(*) AS n, CAST(coalesce(sum(CAST('0x' || substr(md5(doc_id || ' ' || coalesce(text, '')), 1, 15) AS BIGINT)::HUGEINT), 0) AS VARCHAR) AS digest FROM documents")
+def corpus_digest(spark, d):
+    """A digest of the corpus that doesn't depend on the order of its rows."""
+    return dataset.digest(read(spark, d, "documents"), "doc_id", "text")
+
+
+# a file for each document: Python with some blank lines before its function, Python that doesn't parse, prose, and a type that is skipped
+_FILE = (
+    "CASE doc_id % 4 WHEN 0 THEN 'import os' || chr(10) || 'LIMIT = 3' || chr(10) || repeat(chr(10), CAST(doc_id % 7 AS INT)) || '@cache' || chr(10) || 'def f(x):' || chr(10) || '    return x' || chr(10) || 'class A:' || chr(10) || '    z = 1' || chr(10) || '    def g(self):' || chr(10) || '        return 1' || chr(10) "
+    "WHEN 1 THEN 'print ' || chr(39) || doc_id || chr(39) || repeat(chr(10), 2) WHEN 2 THEN repeat('line' || chr(10), CAST(doc_id % 5 AS INT)) ELSE 'x' END"
+)
+_PATHS = "'p' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.PY' WHEN 2 THEN '.md' ELSE '.lock' END"
 
 
 @query(
-    "SELECT * FROM (VALUES ('pkg/core.py', '<module>', 'module', 3, 3), ('pkg/core.py', 'parse', 'function', 5, 7), ('pkg/core.py', 'Session', 'class', 9, 11), ('pkg/core.py', 'Session.send', 'method', 12, 13), "
-    "('pkg/core.py', '<module>', 'module', 15, 16), ('legacy.py', 'legacy.py', 'file', 1, 1), ('README.md', 'README.md', 'file', 1, 3)) AS t(path, name, kind, start_line, end_line)"
+    f"WITH f AS (SELECT doc_id, {_PATHS} AS path, CAST(doc_id % 7 AS INTEGER) AS k, CAST(doc_id % 5 AS INTEGER) AS l FROM documents) "
+    "SELECT path, '<module>' AS name, 'module' AS kind, 2 AS start_line, 2 AS end_line FROM f WHERE doc_id % 4 = 0 UNION ALL SELECT path, 'f', 'function', 3 + k, 5 + k FROM f WHERE doc_id % 4 = 0 "
+    "UNION ALL SELECT path, 'A', 'class', 6 + k, 7 + k FROM f WHERE doc_id % 4 = 0 UNION ALL SELECT path, 'A.g', 'method', 8 + k, 9 + k FROM f WHERE doc_id % 4 = 0 "
+    "UNION ALL SELECT path, path, 'file', 1, 1 FROM f WHERE doc_id % 4 = 1 UNION ALL SELECT path, path, 'file', 1, l FROM f WHERE doc_id % 4 = 2 AND l > 0"
 )
 def chunk_python(spark, d):
-    """Stated files to chunks."""
-    return chunk_files(spark.createDataFrame(_FILES, "path string, data binary")).select("path", "name", "kind", "start_line", "end_line")
+    """A file for each document, in chunks."""
+    expr = lambda x: F.expr(x.replace("chr(", "char("))
+    files = read(spark, d, "documents").select(expr(_PATHS).alias("path"), expr(_FILE).cast("binary").alias("data"))
+    return chunk_files(files).select("path", "name", "kind", "start_line", "end_line")
 
 
 @query()

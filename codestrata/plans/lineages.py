@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.operators.lineage import occurrences, search_all_versions
 from codestrata.plans.retrieval import asked, read, rounded
+from codestrata.scratch import save
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -17,7 +18,7 @@ def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     n = F.col("vec_id")
     file = F.floor(n / 70)  # seven names a file: about ten chunks share a name, as versions do
     chunks = e.select(
-        F.concat(F.lit("v"), F.col("label").cast("string")).alias("commit"), F.format_string("f%d.py#g%d@1", file, n % 7).alias("id"), F.format_string("f%d.py", file).alias("path"),
+        F.concat(F.lit("v"), F.col("label").cast("string")).alias("commit"), F.format_string("f%d.py#g%d@%d", file, n % 7, n).alias("id"), F.format_string("f%d.py", file).alias("path"),
         F.format_string("g%d", n % 7).alias("name"), F.when(n % 11 == 0, "module").otherwise("function").alias("kind"), n.cast("int").alias("start_line"), (n + 1).cast("int").alias("end_line"),
         n.cast("string").alias("hash"), F.lit("python").alias("language"),
     )
@@ -25,7 +26,8 @@ def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
         F.concat(F.lit("v"), F.col("label").cast("string")).alias("commit"), F.lit("short").alias("short"), F.array(F.concat(F.lit("v"), F.col("label").cast("string"))).alias("refs"),
         F.concat(F.lit("202"), F.col("label").cast("string")).alias("committed_at"),
     )
-    return occurrences(chunks, versions), versions, e.select(n.cast("string").alias("hash"), F.col("embedding").alias("vector"))
+    # what a source of all versions makes once, when it is opened
+    return save(occurrences(chunks, versions), "occurrences"), versions, e.select(n.cast("string").alias("hash"), F.col("embedding").alias("vector"))
 
 
 def lineage_clusters(spark: SparkSession, d: str) -> DataFrame:

@@ -251,6 +251,26 @@ def recall_map(spark, d):
     return got.select(*[F.round(c, 6).alias(c) for c in ("recall_at_10", "map_at_10", "precision_at_10", "hit_rate_at_10")])
 
 
+_CUTS = (1, 3, 5, 10, 20, 100)
+
+
+@query(
+    _BM25 + ", " + _QRELS + f", k AS (SELECT unnest({list(_CUTS)}) AS cut), n AS (SELECT query_id, count(*) AS relevant FROM qr GROUP BY query_id), "
+    "h AS (SELECT b.query_id, b.rank, row_number() OVER (PARTITION BY b.query_id ORDER BY b.rank) AS hits FROM bm b JOIN qr USING (query_id, doc_id) WHERE b.rank <= 100), "
+    "i AS (SELECT query_id, cut, sum(1 / log2(nth + 1)) AS ideal FROM n, k, unnest(range(1, least(relevant, cut) + 1)) AS r(nth) GROUP BY ALL), "
+    "e AS (SELECT n.query_id, cut, any_value(relevant) AS relevant, coalesce(sum(1 / log2(rank + 1)), 0) AS dcg, coalesce(sum(hits / rank), 0) AS ap, count(rank) AS found, coalesce(1 / min(rank), 0) AS rr "
+    "FROM n CROSS JOIN k LEFT JOIN h ON h.query_id = n.query_id AND h.rank <= cut GROUP BY n.query_id, cut) "
+    "SELECT CAST(e.cut AS INTEGER) AS cut, round(avg(dcg / ideal), 6) AS ndcg, round(avg(ap / least(relevant, e.cut)), 6) AS map, round(avg(found / relevant), 6) AS recall, round(avg(found / e.cut), 6) AS precision, "
+    "round(avg(rr), 6) AS mrr, round(avg(CAST(found > 0 AS INTEGER)), 6) AS hit_rate, round(avg(CAST(found > 0 AS INTEGER)), 6) AS accuracy FROM e JOIN i ON e.query_id = i.query_id AND e.cut = i.cut GROUP BY e.cut"
+)
+def metrics_at_all_cuts(spark, d):
+    """All metrics at every cut, a row for each."""
+    got = metrics.evaluate(_bm25(spark, d, 100), _qrels(spark, d), _CUTS)
+    names = ("ndcg", "map", "recall", "precision", "mrr", "hit_rate", "accuracy")
+    rows = F.array(*[F.struct(F.lit(k).alias("cut"), *[F.round(f"{n}_at_{k}", 6).alias(n) for n in names]) for k in _CUTS])
+    return got.select(F.inline(rows))
+
+
 @query("SELECT l.doc_id AS query_id, d.doc_id, d.lang, d.n_chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.quality > 0")
 def qrel_pairs(spark, d):
     """Positive judgements with their documents."""
