@@ -163,7 +163,7 @@ bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id
 
 
 def _words(df: DataFrame, key: str) -> DataFrame:
-    return spread(df.select(key, "text")).select(F.col(key), F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x) > 1).alias("tokens"))
+    return spread(df.select(key, "text"), key).select(F.col(key), F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x) > 1).alias("tokens"))
 
 
 def _index(spark, d):
@@ -225,7 +225,7 @@ _QRELS = "qr AS (SELECT DISTINCT b.item_id AS query_id, x.doc_id, 1 AS score FRO
 
 def _qrels(spark, d):
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return training.occurring(items, spread(read(spark, d, "documents").select("doc_id", "text")))
+    return training.occurring(items, spread(read(spark, d, "documents").select("doc_id", "text"), "doc_id"))
 
 
 _EVAL = (
@@ -299,4 +299,4 @@ def hard_negatives(spark, d):
 @query()
 def code_tokens(spark, d):
     """I16: identifier tokens of all documents; DuckDB's expressions lack look-ahead."""
-    return spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(tokenize_code(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return spread(read(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.explode(tokenize_code(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))

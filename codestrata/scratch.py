@@ -38,7 +38,8 @@ def drop(*saved: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def spread(df: DataFrame, limit: int = 1 << 28) -> DataFrame:
-    """``df`` dealt to all cores if Spark takes it for smaller than ``limit`` bytes: a small file is few splits, whatever is made of its rows."""
+def spread(df: DataFrame, key: str, limit: int = 1 << 28) -> DataFrame:
+    """``df`` dealt to all cores by ``key`` if Spark takes it for smaller than ``limit`` bytes: a small file is few splits, whatever is made of
+    its rows. What is then grouped by ``key`` and more stays where it is."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) < limit else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if int(str(size)) < limit else df

@@ -67,3 +67,18 @@ def test_chunks():
     assert names("if x:\n    def f(): pass\n") == [("<module>", "module", 1, 2)]
     assert names("\ufeffx = 1\n")[0][1] == "file"
     assert chunks_of("a.svg", b"<svg/>") == [] and chunks_of("a.txt", b"x" * 600_000) == [] and chunks_of("a.txt", b"\0") == [] and chunks_of("a.txt", b" \n") == []
+
+
+def test_labels(spark):
+    rows = [(["v1", "main"], "abc1234", "x.py", 3, 9), ([], "abc1234", "x.py", 3, 9)]
+    df = spark.createDataFrame(rows, "refs array<string>, short string, path string, a int, b int")
+    assert [r[0] for r in df.select(X.version_label(F.col("refs"), F.col("short"))).collect()] == ["v1, main · abc1234", "abc1234"]
+    first = df.select(X.chunk_id(F.col("path"), F.lit("A.f"), F.col("a")), X.location(F.col("path"), F.col("a"), F.col("b")), X.github_url(F.lit("local"), F.lit("c"), F.col("path"), F.col("a"), F.col("b"))).first()
+    assert tuple(first) == ("x.py#A.f@3", "x.py:3-9", None)
+    assert one(spark, [(" a ",)], "t string", X.prefixed(F.col("t"), "q: ")) == ["q: a"]
+
+
+def test_decoded_files():
+    assert X.decoded(b"") == "" and X.decoded(b"a\0") is None and X.decoded("é".encode()) == "é"
+    assert X.decoded(b"\xff" * 8) is not None and X.decoded(b"\xff" * 9) is None and X.decoded(b"x" * 2000 + b"\xff" * 15) is not None and X.decoded(b"x" * 500 + b"\xff" * 15) is None
+    assert X.normalized("\t a\n\t\tb\n") == " a\n\tb" and X.normalized(" \n\n") == ""
