@@ -265,7 +265,7 @@ def test_packing_round_trip(spark):
     from codestrata.llm.packing import pack_documents
 
     rng = random.Random(4)
-    rows = [(i, " ".join(words(rng, rng.choice([3, 50, 400, 1500])))) for i in range(60)] + [(100, None), (101, ""), (None, "x"), (5, "again"), (5, "again")]
+    rows = [(i, " ".join(words(rng, rng.choice([3, 50, 400, 1500])))) for i in range(60)] + [(100, None), (101, ""), (None, "x"), (5, "again"), (5, "again"), (102, "x" + " " * 1_000_000 + "y")]
     got = pack_documents(docs(spark, rows).withColumn("rank", F.lit("clash")), TOKENIZER, with_ids=True).collect()
     tok = Tokenizer.from_file(TOKENIZER)
     by = {}
@@ -466,6 +466,16 @@ def spans_brute(items, texts):
     return out
 
 
+def test_items_may_repeat(spark):
+    from codestrata.llm.decontamination import contaminated
+
+    item = "one two three four five six seven eight nine"
+    bench = docs(spark, [(1, item), (1, item), (2, item), (None, item)], "item_id long, text string")
+    rows = docs(spark, [(7, "two three four five six seven eight nine ten"), (None, f"x {item}")])
+    got = sorted((r["doc_id"] or 0, r["item_id"] or 0, r["distance"]) for r in contaminated(rows, bench).collect())
+    assert got == sorted([(d, i, k) for d, k in ((7, 1), (0, 0)) for i in (1, 1, 2, 0)])
+
+
 def test_decontamination_of_few_words():
     """Two to five different words: windows meet, pieces hit everywhere, and rows stand in any order."""
     from codestrata.llm import kernel
@@ -701,6 +711,11 @@ def test_extract_copies_and_articles(spark, parts):
     for k in range(9):
         rows.append((len(rows), f"http://t.org/{k}", art(f"t {k}").replace("<div>Notice</div>", "<p>Refrain</p>" if k != 4 else "")))
         want.append(("" if k == 4 else "Refrain\n") + f"t {k}\nmore t {k}")
+    # pages without an address are a host of their own, however often each is repeated
+    for k in range(4):
+        for _ in range(3):
+            rows.append((len(rows), None, plain(f"nowhere {k}")))
+            want.append(f"nowhere {k}\nmore nowhere {k}")
     # a near copy of an article, and the only two pages of a host
     rows += [(900, "http://n.org/1", PAGE.format("<article><p>a</p><p>b</p><p>c</p></article>")), (901, "http://n.org/2", PAGE.format("<article><p>a</p><p>b</p><p>d</p></article>"))]
     want += ["a\nb\nc", "a\nb\nd"]
@@ -827,6 +842,16 @@ def test_keep_one(spark):
 # ---- pipeline
 
 
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as P
+
+    for name, rows in (("none", []), ("blank", [(1, None, None, None, None), (None, "", "en", "s", 0), (2, "123", None, "s", 3)])):
+        spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        got = P.run(spark, str(tmp_path / name))
+        assert got.count() == 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(got.columns)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
