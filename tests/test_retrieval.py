@@ -1,7 +1,9 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +190,38 @@ def test_near_best(spark):
     got = search.near_best(vectors(spark, [(1, [1.0]), (2, [-1.0])], "query_id"), docs, "label", 1.0).collect()
     want = {(q, i) for q, sign in ((1, 1), (2, -1)) for i in range(60) if sign * (i % 7) >= max(sign * (j % 7) for j in range(60) if j % 3 == i % 3) - 1}
     assert {(r["query_id"], r["doc_id"]) for r in got} == want
+
+
+@pytest.mark.parametrize("find", ["dense_topk_blocks", "best_of_each", "near_best"])
+def test_memory_of_a_task_with_a_whole_block_of_queries(monkeypatch, find):
+    """A task holds the k best of each query and a part's scores: not all pairs of its queries and rows, nor an id for each pair."""
+
+    class Caught(Exception):
+        pass
+
+    def caught(queries, docs, columns, keep):
+        raise Caught(columns, keep)
+
+    monkeypatch.setattr(search, "_each_block", caught)
+    with pytest.raises(Caught) as stopped:
+        {"dense_topk_blocks": lambda: search.dense_topk_blocks(None, None, 20), "best_of_each": lambda: search.best_of_each(None, None, "label", 20), "near_best": lambda: search.near_best(None, None, "label")}[find]()
+    columns, keep = stopped.value.args
+    n, rng = 2048, np.random.default_rng(0)
+    rows = {"doc_id": [f"{i:060d}" for i in range(n)], "label": [f"{i % 10:030d}" for i in range(n)], "vector": rng.normal(size=(n, 8)).astype(np.float32).tolist()}
+    queries, got = rng.normal(size=(search.QUERY_BLOCK, 8)), 0
+    tracemalloc.start()
+    for at, _, _ in keep(queries, search._slices(iter([pa.RecordBatch.from_pydict({k: rows[k] for k in {*columns, "vector"}})]), columns)):
+        got += len(at)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert got >= 10 * search.QUERY_BLOCK and peak < 120, peak
+
+
+def test_equal_scores_beyond_the_kth_place(spark):
+    """Copies of one vector, many more than k, in any order and in several partitions: the smallest ids come back."""
+    docs = spark.createDataFrame([(f"d{(i * 7919) % 5000:04d}", [1.0, float(i % 2)]) for i in range(5000)], "doc_id string, vector array<double>").repartition(3)
+    q = vectors(spark, [(i, [1.0, float(i % 3)]) for i in range(70)], "query_id")
+    got = search.dense_topk_blocks(q, docs, 7).filter("query_id = 0").orderBy("rank").collect()
+    assert [r["doc_id"] for r in got] == [f"d{i:04d}" for i in range(7)]
+    best = search.best_of_each(q, docs.withColumn("label", F.substring("doc_id", 5, 1)), "label", 7).filter("query_id = 1").orderBy("rank").collect()
+    assert [r["doc_id"] for r in best] == sorted((x for x in {f"d{(i * 7919) % 5000:04d}" for i in range(1, 5000, 2)}), key=lambda x: (x[4], x))[:7]
