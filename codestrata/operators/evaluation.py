@@ -42,8 +42,10 @@ class Retrievers:
 
     def bm25(self, queries: DataFrame, k: int, candidates: DataFrame | None = None) -> DataFrame:
         index = self._once("bm25", lambda: search.Bm25(self.documents.select("doc_id", tokenize_code(F.trim("text")).alias("tokens"))))
-        scored = index.scores(queries.select("query_id", tokenize_code(F.col("text")).alias("tokens"))).withColumn("score", F.round("score", 9))
-        return search.ranked(scored if candidates is None else search.restrict(scored, candidates), k)
+        asked = queries.select("query_id", tokenize_code(F.col("text")).alias("tokens"))
+        if candidates is None:
+            return index.topk(asked, k)
+        return search.ranked(search.restrict(index.scores(asked).withColumn("score", F.round("score", 9)), candidates), k)
 
     def hybrid(self, queries: DataFrame, k: int) -> DataFrame:
         return search.rrf([(self.dense(queries, k), 1.0), (self.bm25(queries, k), self.bm25_weight)], k, self.rrf_k)

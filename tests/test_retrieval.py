@@ -1,4 +1,5 @@
 import math
+import re
 import tracemalloc
 from collections import Counter
 
@@ -225,3 +226,43 @@ def test_equal_scores_beyond_the_kth_place(spark):
     assert [r["doc_id"] for r in got] == [f"d{i:04d}" for i in range(7)]
     best = search.best_of_each(q, docs.withColumn("label", F.substring("doc_id", 5, 1)), "label", 7).filter("query_id = 1").orderBy("rank").collect()
     assert [r["doc_id"] for r in best] == sorted((x for x in {f"d{(i * 7919) % 5000:04d}" for i in range(1, 5000, 2)}), key=lambda x: (x[4], x))[:7]
+
+
+def test_postings_are_not_shuffled(spark):
+    """Whatever Spark may broadcast: scores are summed where a document is, and a term's statistics need no join with its postings."""
+    from codestrata.plans import retrieval
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [f(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for f in (retrieval.bm25_topk, retrieval.bm25_stats)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not any("Join" in p for p in plans) and {x.partition("#")[0] for x in re.findall(r"hashpartitioning\(([^)]*)\)", plans[0])} == {"query_id"}
+
+
+def test_word_index_in_small_parts(spark, monkeypatch):
+    """Blocks of queries, parts of documents and of sums give what brute force gives; ties go to the smaller id, negative idf included."""
+    for name, value in (("QUERY_BLOCK", 3), ("PENDING", 20), ("COUNTED", 7), ("OUT_ROWS", 4)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(3)
+    docs = {i: [f"t{x}" for x in rng.integers(0, 6, rng.integers(0, 9))] for i in range(40)} | {40: ["every"], 41: None}
+    docs = {i: [*d, "every"] if d is not None and i % 4 else d for i, d in docs.items()}
+    asked = {q: [f"t{x}" for x in rng.integers(0, 8, 5)] + ["every"] for q in range(8)}
+    index = search.Bm25(spark.createDataFrame(list(docs.items()), "doc_id long, tokens array<string>"))
+    n, avgdl = len(docs), sum(len(d or []) for d in docs.values()) / len(docs)
+    df = Counter(t for d in docs.values() for t in set(d or []))
+    raw = {t: math.log(n - f + 0.5) - math.log(f + 0.5) for t, f in df.items()}
+    idf = {t: 0.25 * sum(raw.values()) / len(raw) if v < 0 else v for t, v in raw.items()}
+    weight = lambda t, d: idf.get(t, 0) * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / avgdl)) if d else 0
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, tokens array<string>")
+    want = {(q, i): s for q, ts in asked.items() for i, d in docs.items() if (s := sum(weight(t, d) for t in ts)) > 0}
+    assert {(r["query_id"], r["doc_id"]): r["score"] for r in index.scores(queries).collect()} == pytest.approx(want)
+    few = [i for i in docs if i % 3]
+    for among in (None, spark.createDataFrame([(i,) for i in few], "doc_id long")):
+        got = {(r["query_id"], r["rank"]): r["doc_id"] for r in index.topk(queries, 4, among).collect()}
+        for q in asked:
+            best = sorted((-round(s, 9), i) for (x, i), s in want.items() if x == q and (among is None or i in few))[:4]
+            assert [got.get((q, r)) for r in range(1, len(best) + 1)] == [i for _, i in best]
+    found = {r["term"]: (r["df"], r["occurrences"], round(r["top_weight"], 9)) for r in index.statistics().collect()}
+    assert found == {t: (f, sum((d or []).count(t) for d in docs.values()), round(max(weight(t, d) for d in docs.values() if d and t in d), 9)) for t, f in df.items()}
