@@ -266,3 +266,15 @@ def test_word_index_in_small_parts(spark, monkeypatch):
             assert [got.get((q, r)) for r in range(1, len(best) + 1)] == [i for _, i in best]
     found = {r["term"]: (r["df"], r["occurrences"], round(r["top_weight"], 9)) for r in index.statistics().collect()}
     assert found == {t: (f, sum((d or []).count(t) for d in docs.values()), round(max(weight(t, d) for d in docs.values() if d and t in d), 9)) for t, f in df.items()}
+
+
+def test_judgements_read_documents_once_and_carry_no_text_with_runs(spark, monkeypatch):
+    """What metrics read of the judgements is a written table, and what is joined by runs of words holds no texts."""
+    from codestrata.operators import training
+    from codestrata.plans import retrieval
+
+    saved = []
+    monkeypatch.setattr(training, "save", lambda df, name: saved.append(df._jdf.queryExecution().optimizedPlan().toString()) or retrieval.save(df, name), raising=False)
+    plan = retrieval._qrels(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    assert len(saved) == 1 and not any("text#" in line.split("Generate")[1].split("[")[-1] for line in saved[0].splitlines() if "Generate" in line)
