@@ -82,3 +82,23 @@ def test_decoded_files():
     assert X.decoded(b"") == "" and X.decoded(b"a\0") is None and X.decoded("é".encode()) == "é"
     assert X.decoded(b"\xff" * 8) is not None and X.decoded(b"\xff" * 9) is None and X.decoded(b"x" * 2000 + b"\xff" * 15) is not None and X.decoded(b"x" * 500 + b"\xff" * 15) is None
     assert X.normalized("\t a\n\t\tb\n") == " a\n\tb" and X.normalized(" \n\n") == ""
+
+
+def test_memory_of_hash_embedding(monkeypatch):
+    """A batch's texts aren't all held again as Python's strings."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from codestrata.functions import hashing
+
+    found = []
+    monkeypatch.setattr(hashing.F, "pandas_udf", lambda f, kind: lambda text: None)
+    monkeypatch.setattr(hashing.F, "arrow_udf", lambda f, kind: lambda text: found.append(f))
+    hash_embed(None)
+    texts = pa.array(["word " * 4000, None, *["word " * 4000] * 998])
+    tracemalloc.start()
+    got = found[0](texts)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 8 and [sum(x) for x in got.slice(0, 2).to_pylist()] == [1.0, 0.0]
