@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.functions.text import clean_query, tokenize_code
+from codestrata.functions.text import clean_query, code_words, tokenize_code
 from codestrata.functions.vector import l2_normalise
 from codestrata.operators import metrics, search
 from codestrata.operators.corpus_index import cached_vectors
@@ -41,7 +41,7 @@ class Retrievers:
         return search.dense_topk(save(asked, "queries"), docs, k)
 
     def bm25(self, queries: DataFrame, k: int, candidates: DataFrame | None = None) -> DataFrame:
-        index = self._once("bm25", lambda: search.Bm25(self.documents.select("doc_id", tokenize_code(F.trim("text")).alias("tokens"))))
+        index = self._once("bm25", lambda: search.Bm25(self.documents.select("doc_id", *code_words(F.trim("text")))))
         asked = queries.select("query_id", tokenize_code(F.col("text")).alias("tokens"))
         if candidates is None:
             return index.topk(asked, k)

@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +105,34 @@ def test_memory_of_hash_embedding(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1] / 1e6
     tracemalloc.stop()
     assert peak < 8 and [sum(x) for x in got.slice(0, 2).to_pylist()] == [1.0, 0.0]
+
+
+def test_code_words_are_cut_as_tokenize_code_cuts_them(spark):
+    """Every plain character and strange ones, alone and between letters of both cases, digits and underscores."""
+    from codestrata.operators.search import term_counts
+
+    plain = [chr(c) for c in range(0x250) if re.fullmatch(f"[{X.PLAIN}]", chr(c))]
+    strange = [*"İªµºǅΣ١́कि漢‿‍", "\U0001d400", "İẋY"]
+    words = [f for c in plain + strange for f in (c, f"a{c}", f"{c}{c}b", f"Ab{c}cD", f"AB{c}CDe", f"ab_{c}9_{c}{c}z", f"__{c}x1_")]
+    texts = [" ".join(words[a::97]) for a in range(97)] + [" ".join(words), None, "", "The the THE_the a_b_ of_ _x__yy 12 x12 getX2 HTTPServer", "İ max été MAX"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = df.select("doc_id", X.tokenize_code(F.col("text")).alias("tokens")).collect()
+    got = {r["doc_id"]: r for r in term_counts(df.select("doc_id", *X.code_words(F.col("text")))).collect()}
+    for r in want:
+        found = got[r["doc_id"]]
+        assert dict(zip(found["terms"], found["tfs"], strict=True)) == Counter(r["tokens"] or [])
+        assert found["len"] == len(r["tokens"] or [])
+
+
+def test_code_words_cut_a_word_once_for_many_documents(spark, monkeypatch):
+    """Of a batch of documents each different word is cut once, whatever its number."""
+    import pyarrow as pa
+
+    from codestrata.operators import search
+
+    cut = []
+    monkeypatch.setattr(search, "plain_tokens", lambda w: cut.append(w) or X.plain_tokens(w))
+    none = pa.nulls(1, pa.list_(pa.struct([("word", pa.string()), ("tokens", pa.list_(pa.string()))])))
+    code = pa.array(["fooBar", "x1", "foo", "fooBar"] * 500).dictionary_encode()
+    terms, at, begin, times = search._expanded(code.dictionary, none)
+    assert cut == ["fooBar", "x1"] and [[terms[int(i)].as_py() for i in at[b : b + n]] for b, n in zip(begin, times)] == [["foobar", "foo", "bar"], [], ["foo"]]
